@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assaykit.llm import decontamination
-from assaykit.llm._common import table
+from assaykit.llm import decontamination, token_files
+from assaykit.llm._common import shared_dir, table
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +14,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op2_decontamination": op2_decontamination}
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the token files, read back from them."""
+    docs = table(spark, sf_dir, "documents")
+    parts = token_files.write_token_files(docs, shared_dir(spark), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_token_files(spark, parts)
+
+
+QUERIES = {
+    "op3_token_files": op3_token_files,
+    "op2_decontamination": op2_decontamination}
 ORACLES = {"op2_decontamination": decontamination.ORACLE}
