@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assaykit.llm import decontamination, line_dedup, token_files
+from assaykit.llm import decontamination, line_dedup, mixing, token_files
 from assaykit.llm._common import shared_dir, table
 
 
@@ -21,6 +21,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, parts)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document the mix of all sources takes."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that stand in ten documents or more."""
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -29,9 +34,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_token_files": op3_token_files,
+    "op4_mixing": op4_mixing,
     "op9_line_dedup": op9_line_dedup,
 }
 ORACLES = {
     "op2_decontamination": decontamination.ORACLE,
+    "op4_mixing": mixing.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }
