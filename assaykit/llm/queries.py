@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assaykit.llm import decontamination, line_dedup, mixing, token_files
+from assaykit.llm import decontamination, line_dedup, mixing, quality_rules, token_files
 from assaykit.llm._common import shared_dir, table
 
 
@@ -26,6 +26,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document, and whether base rules and certified thresholds keep it."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that stand in ten documents or more."""
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -35,10 +40,12 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
+    "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
 }
 ORACLES = {
     "op2_decontamination": decontamination.ORACLE,
     "op4_mixing": mixing.ORACLE,
+    "op8_quality_rules": quality_rules.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }
