@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assaykit.llm import decontamination, line_dedup, mixing, quality_rules, token_files
+from assaykit.llm import decontamination, line_dedup, mixing, quality_rules, secret_scan, token_files
 from assaykit.llm._common import shared_dir, table
 
 
@@ -26,6 +26,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document by base rules and Markov models."""
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document, and whether base rules and certified thresholds keep it."""
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -40,6 +45,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
+    "op6_secret_scan": op6_secret_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
 }
