@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assaykit.llm import decontamination, line_dedup, mixing, quality_rules, secret_scan, token_files
+from assaykit.llm import decontamination, language_id, line_dedup, mixing, quality_rules, secret_scan, token_counts, token_files
 from assaykit.llm._common import shared_dir, table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs (doc_id, item_id) of documents that hold a benchmark item."""
     return decontamination.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -26,6 +31,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, from one encoding of the whole document."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document by base rules and Markov models."""
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
@@ -42,9 +53,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
+    "op5_token_counts": op5_token_counts,
     "op6_secret_scan": op6_secret_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
