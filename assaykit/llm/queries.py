@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assaykit.llm import decontamination, language_id, line_dedup, mixing, quality_rules, secret_scan, token_counts, token_files
+from assaykit.llm import decontamination, language_id, line_dedup, mixing, ngram_join, quality_rules, secret_scan, token_counts, token_files
 from assaykit.llm._common import shared_dir, table
 
 
@@ -52,6 +52,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document, and its number of links."""
+    return ngram_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -61,10 +66,12 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
+    "op10_ngram_join": op10_ngram_join,
 }
 ORACLES = {
     "op2_decontamination": decontamination.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op10_ngram_join": ngram_join.ORACLE,
 }
