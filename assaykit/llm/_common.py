@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -67,3 +68,9 @@ def text_of(column: str = "text") -> Column:
 
 def n_words(column: Column) -> Column:
     return F.regexp_count(column, F.lit(WORD)).cast("long")
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver forget finished plans now, so that executors delete their shuffle files before the next step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

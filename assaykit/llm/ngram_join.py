@@ -26,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit.llm import _shingles as S
-from assaykit.llm._common import arrow_batches, discard, materialize
+from assaykit.llm._common import arrow_batches, materialize, release
 from assaykit.llm._graph import connected_components
 
 STEP = 32
@@ -209,6 +209,7 @@ def similar_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
     signed = source.mapInArrow(sign, "doc_id bigint, node binary, n bigint, sig binary, keys binary")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     nodes = materialize(nodes, "nodes")
+    release(docs.sparkSession)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,6 +239,7 @@ def similar_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
 
     likely = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(prune, "u binary, v binary")
     groups = connected_components(likely)
+    release(docs.sparkSession)
     sizes = groups.groupBy(F.col("root").alias("_root")).agg(F.count("*").alias("size"))
     groups = groups.join(sizes, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "root", "size")
     info = nodes.select("node", F.col("rep").alias("_rep"), "copies", "n", "sig")
@@ -264,6 +266,7 @@ def similar_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
 
     checked = dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(verify, "u binary, v binary, links bigint")
     checked = materialize(checked, "links")
+    release(docs.sparkSession)
     linked = connected_components(checked.select("u", "v"))
     counts = checked.groupBy(F.col("u").alias("_u")).agg(F.sum("links").alias("links"))
     firsts = linked.join(nodes.select(F.col("node").alias("_n"), "rep"), F.col("node") == F.col("_n"))
@@ -295,8 +298,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     named = docs.withColumn("_text", F.unhex(F.md5("text")))
     kept = named.join(keepers, (F.col("_text") == F.col("_node")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_rep")))
     # Rows that repeat a keeper's id and text: the join has brought them together; one stays.
-    from pyspark.sql import Window
-
     kept = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_node", "_rep").orderBy("_rep"))).filter("_nth = 1")
     return kept.select(*docs.columns).unionAll(docs.filter("text IS NULL"))
 

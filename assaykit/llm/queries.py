@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assaykit.llm import decontamination, language_id, line_dedup, mixing, ngram_join, quality_rules, secret_scan, token_counts, token_files
+from assaykit.llm import decontamination, language_id, line_dedup, mixing, ngram_join, quality_rules, secret_scan, suffix_dedup, token_counts, token_files
 from assaykit.llm._common import shared_dir, table
 
 
@@ -42,6 +42,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that strings of 200 bytes repeat."""
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document, and whether base rules and certified thresholds keep it."""
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -64,6 +70,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_secret_scan": op6_secret_scan,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_join": op10_ngram_join,
