@@ -84,8 +84,9 @@ class ItemSketches:
             self.sets[k] = S.exact_shingles(self.texts[k], self.width)
         return self.sets[k]
 
-    def search(self, batch: pa.RecordBatch) -> Iterator[tuple]:
-        raw, off = S.column_bytes(batch.column(1))
+    def search(self, ids: pa.Array, texts: pa.Array) -> Iterator[tuple]:
+        """Row number, doc_id and item_id, the item's shingles, those shared, and containment, of each match."""
+        raw, off = S.column_bytes(texts)
         seen, own = -1, set()
         for d, k in self.candidates(*S.shingle_hashes(*S.word_hashes(raw, off), self.width)).tolist():
             if d != seen:
@@ -93,29 +94,22 @@ class ItemSketches:
             item = self.item_set(k)
             shared = sum(x in own for x in item)
             if shared >= self.threshold * len(item):
-                yield batch.column(0)[d].as_py(), self.ids[k], len(item), shared, shared / len(item)
+                yield d, ids[d].as_py(), self.ids[k], len(item), shared, shared / len(item)
 
 
 def find_contaminated(
     docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, margin: int = 8, block_bytes: int = 8 << 20
 ) -> DataFrame:
     """Pairs of a document and an item of which the document holds at least ``threshold`` of the ``width``-word shingles."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
     out = None
-    for b in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else items
-        sketches = spark.sparkContext.broadcast(ItemSketches([tuple(r) for r in mine.collect()], width, threshold, margin))
+    for sketches in _blocks(docs, items, width, threshold, margin, block_bytes):
 
         def probe(batches: Iterator[pa.RecordBatch], sketches=sketches) -> Iterator[pa.RecordBatch]:
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             kinds = [pa.int64()] * 4 + [pa.float64()]
             for batch in batches:
-                columns = list(zip(*sketches.value.search(batch), strict=True)) or [()] * 5
+                columns = list(zip(*(r[1:] for r in sketches.value.search(batch.column(0), batch.column(1))), strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         found = docs.mapInArrow(probe, SCHEMA)
@@ -123,12 +117,31 @@ def find_contaminated(
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents, all columns kept, that hold no item; a null doc_id is compared as a value.
+def _blocks(docs: DataFrame, items: DataFrame, width: int, threshold: float, margin: int, block_bytes: int) -> Iterator:
+    """Broadcast sketches of the items, a bounded block at a time."""
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_bytes))
+    for b in range(blocks):
+        mine = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else items
+        yield spark.sparkContext.broadcast(ItemSketches([tuple(r) for r in mine.collect()], width, threshold, margin))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, margin: int = 8, block_bytes: int = 8 << 20) -> DataFrame:
+    """The document rows, all columns kept, that hold no item. The scan itself drops rows, so neither join nor shuffle follows."""
+    at = [docs.columns.index(c) for c in ("doc_id", "text")]
+    for sketches in _blocks(docs, items, width, threshold, margin, block_bytes):
+
+        def clean(batches: Iterator[pa.RecordBatch], sketches=sketches) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[r[0] for r in sketches.value.search(batch.column(at[0]), batch.column(at[1]))]] = False
+                yield batch.filter(pa.array(keep))
 
-    A document row goes with every row of the same id, as an id names one document."""
-    found = find_contaminated(docs, items, **options).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
 
 
 ORACLE = r"""

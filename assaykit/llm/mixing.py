@@ -92,10 +92,11 @@ def schedule(sources: DataFrame, block_words: int, chunk: int = 16384) -> DataFr
     )
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block_words: int = 1024, bucket_docs: int = 1000) -> DataFrame:
-    """Per document row: doc_id, size, source_size, target of its source, and the words of it that the mix takes."""
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block_words: int = 1024, bucket_docs: int = 1000, key: list[str] | None = None) -> DataFrame:
+    """Per document row: doc_id, size, source_size, target of its source, the words of it that the mix takes, and ``key``."""
+    key = key or []
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    rows = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", n_words(text_of()).alias("size"), order.alias("place")), "sizes")
+    rows = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", n_words(text_of()).alias("size"), order.alias("place"), *key), "sizes")
     sources = materialize(targets(rows, weights, cap, block_words), "sources")
     takes = schedule(sources, block_words).groupBy("rk", "block")
     takes = takes.agg(F.count_if(F.col("words") == F.col("length")).alias("whole"), F.max(F.when(F.col("words") < F.col("length"), F.col("words"))).alias("partly"))
@@ -103,7 +104,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     dealt = rows.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     share = F.expr(f"conv(substr(place, 1, 8), 16, 10) / {float(1 << 32)}")
     dealt = dealt.withColumn("bucket", F.floor(share * F.ceil(F.col("n_docs") / bucket_docs)))
-    dealt = dealt.select("doc_id", "size", "place", "rk", "bucket", "source_size", "target")
+    dealt = dealt.select("doc_id", "size", "place", "rk", "bucket", "source_size", "target", *key)
     sums = dealt.groupBy("rk", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("rk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("rk", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
@@ -116,12 +117,23 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     taken = F.coalesce("whole", F.lit(0)) * F.col("held") + F.least(F.greatest(F.coalesce("partly", F.lit(0)) - F.col("at"), F.lit(0)), F.col("held"))
     return (
         pieces.join(takes, ["rk", "block"], "left")
-        .groupBy("rk", "bucket", "n", "doc_id", "size", "source_size", "target")
+        .groupBy("rk", "bucket", "n", "doc_id", "size", "source_size", "target", *key)
         .agg(F.sum(taken).alias("taken"))
-        .select("doc_id", "size", "source_size", "target", "taken")
+        .select("doc_id", "size", "source_size", "target", "taken", *key)
     )
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents, all columns kept: each row as often as the mix takes it, to the nearest whole number."""
+    named = docs.withColumns({"_text": F.xxhash64("text"), "_doc": F.col("doc_id").cast("bigint"), "_from": F.col("source")})
+    rows = ["_doc", "_text", "_from"]
+    taken = mix_sources(named, key=rows, **options).filter("size > 0").withColumn("_times", F.round(F.col("taken") / F.col("size")).cast("int"))
+    nth = lambda df: df.withColumn("_nth", F.row_number().over(Window.partitionBy(*rows).orderBy(*rows)))
+    taken = nth(taken).filter("_times > 0").select("_times", *[F.col(c).alias(f"{c}2") for c in [*rows, "_nth"]])
+    on = [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in [*rows, "_nth"]]
+    return nth(named).join(taken, on).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
