@@ -13,7 +13,7 @@ Defined results
 ---------------
 * null text, or text without a letter: ``und`` with score 0; repeated rows are predicted each; an empty table: no rows;
 * no labelled document: every text is ``und``; ties go to the language that sorts first; extra columns are kept by
-  :func:`predict` (columns named as its two results are replaced) and ignored in training.
+  :func:`predict` (those named as its two results are replaced) and :func:`keep_identified`, and ignored in training.
 """
 
 from __future__ import annotations
@@ -158,27 +158,42 @@ def _scorer(key: str, model: Model) -> Scorer:
     return _scorers[key]
 
 
-def predict(docs: DataFrame, model: Model, least: float | None = None) -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score``; given ``least``, only rows with a language and that score."""
+def _with_scores(docs: DataFrame, model: Model, schema: T.StructType, finish) -> DataFrame:
+    """``finish(batch, found)`` of each Arrow batch and its predictions, (language, score) for each row."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    docs = docs.drop("lang_pred", "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = spark.sparkContext.broadcast(model)
     key, at = uuid.uuid4().hex, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(key, shared.value)
         for batch in batches:
-            found = [scorer.predict(t) for t in batch.column(at).to_pylist()]
-            lang, score = zip(*found, strict=True) if found else ((), ())
-            columns = [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-            out = pa.RecordBatch.from_arrays(columns, schema.names)
-            yield out if least is None else out.filter(pa.array([x != "und" and s >= least for x, s in found], pa.bool_()))
+            yield finish(batch, [scorer.predict(t) for t in batch.column(at).to_pylist()])
 
     return docs.mapInArrow(run, schema)
 
 
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """All columns of ``docs`` with ``lang_pred`` and ``score``."""
+    docs = docs.drop("lang_pred", "score")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+
+    def add(batch: pa.RecordBatch, found: list[tuple[str, float]]) -> pa.RecordBatch:
+        lang, score = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema.names)
+
+    return _with_scores(docs, model, schema, add)
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs``, as they are, that have a language with at least that score."""
+
+    def keep(batch: pa.RecordBatch, found: list[tuple[str, float]]) -> pa.RecordBatch:
+        return batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+
+    return _with_scores(docs, model, docs.schema, keep)
+
+
 def identify(docs: DataFrame, **options) -> DataFrame:
     """The contract's columns for every document."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")

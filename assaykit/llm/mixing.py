@@ -125,13 +125,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, all columns kept: each row as often as the mix takes it, to the nearest whole number."""
-    named = docs.withColumns({"_text": F.xxhash64("text"), "_doc": F.col("doc_id").cast("bigint"), "_from": F.col("source")})
-    rows = ["_doc", "_text", "_from"]
-    taken = mix_sources(named, key=rows, **options).filter("size > 0").withColumn("_times", F.round(F.col("taken") / F.col("size")).cast("int"))
-    nth = lambda df: df.withColumn("_nth", F.row_number().over(Window.partitionBy(*rows).orderBy(*rows)))
-    taken = nth(taken).filter("_times > 0").select("_times", *[F.col(c).alias(f"{c}2") for c in [*rows, "_nth"]])
-    on = [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in [*rows, "_nth"]]
-    return nth(named).join(taken, on).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    # Rows travel as one struct, so that no column of theirs can clash with those of the mix.
+    key = ["_doc", "_text", "_from"]
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("_doc"), F.xxhash64("text").alias("_text"), F.col("source").alias("_from"))
+    plain = rows.select(F.col("_doc").alias("doc_id"), F.col("row.text").alias("text"), F.col("_from").alias("source"), *key)
+    taken = mix_sources(plain, key=key, **options).filter("size > 0").withColumn("times", F.round(F.col("taken") / F.col("size")).cast("int"))
+    nth = lambda df: df.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(*key)))
+    taken = nth(taken).filter("times > 0").select("times", *[F.col(c).alias(f"{c}2") for c in [*key, "nth"]])
+    on = [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in [*key, "nth"]]
+    return nth(rows).join(taken, on).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 ORACLE = r"""

@@ -295,11 +295,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns kept, that are first of their group; rows of null text all stay."""
     classes = similar_classes(docs, **options)
     keepers = classes.filter(F.col("node") == F.col("keeper_node")).select(F.col("node").alias("_node"), F.col("rep").alias("_rep"))
-    named = docs.withColumn("_text", F.unhex(F.md5("text")))
-    kept = named.join(keepers, (F.col("_text") == F.col("_node")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_rep")))
+    # Rows travel as one struct, so that no column of theirs can clash with those of the join.
+    named = docs.select(F.struct("*").alias("row"), F.unhex(F.md5("text")).alias("_text"), F.col("doc_id").cast("bigint").alias("_doc"))
+    kept = named.join(keepers, (F.col("_text") == F.col("_node")) & F.col("_doc").eqNullSafe(F.col("_rep")))
     # Rows that repeat a keeper's id and text: the join has brought them together; one stays.
-    kept = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_node", "_rep").orderBy("_rep"))).filter("_nth = 1")
-    return kept.select(*docs.columns).unionAll(docs.filter("text IS NULL"))
+    kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("_node", "_rep").orderBy("_rep"))).filter("nth = 1")
+    return kept.select("row.*").unionAll(docs.filter("text IS NULL"))
 
 
 ORACLE = r"""

@@ -18,7 +18,7 @@ LEAST_SCORE = 0.5
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: neither ``und`` nor below LEAST_SCORE."""
-    return language_id.predict(docs, language_id.train(docs), least=LEAST_SCORE).select(*docs.columns)
+    return language_id.keep_identified(docs, language_id.train(docs), LEAST_SCORE)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
