@@ -95,7 +95,9 @@ def split_name(doc_id: Column) -> Column:
 
 
 def float_text(x: Column) -> Column:
-    """A double in the shortest form that reads back equal, as keys spell it: 12345678.0, 0.0005, 1.25e-05."""
+    """A double in the shortest form that reads back equal, as keys spell it: 12345678.0, 0.0005, 1.25e-05.
+
+    Digits are those of the JVM, which before JDK 19 prints a few values (such as the least denormal, 4.9e-324) one digit longer."""
     java = x.cast("string")
     sign = F.when(java.startswith("-"), "-").otherwise("")
     body = F.regexp_replace(java, "^-", "")
