@@ -3,7 +3,7 @@
 1. Equal texts form a class; one representative goes on, so copies never become pairs.
 2. A MinHash signature of each text's ``width``-word shingles gives ``bands`` keys of ``rows`` values. Two texts of Jaccard
    similarity ``s`` share a key with probability 1 - (1 - s^rows)^bands, which misses 5e-7 at 0.8.
-3. Within a key, pairs are compared ``STEP`` signature values at a time. With a flat prior the posterior probability that
+3. Within a key, texts are compared ``STEP`` signature values at a time. With a flat prior the posterior probability that
    the similarity reaches ``threshold`` after ``m`` matches of ``n`` is P(Binomial(n + 1, threshold) <= m); a pair is
    dropped as soon as it falls below ``tolerance``. What survives leaves the key as a spanning forest, not as pairs.
 4. The forests' components hold, together, all texts that may be linked. Within a component, pairs are pruned the same
@@ -100,6 +100,43 @@ def surviving_pairs(sig: np.ndarray, size: np.ndarray, left: np.ndarray, right:
     return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (np.zeros(0, np.int64),) * 2
 
 
+def surviving(sig: np.ndarray, size: np.ndarray, x: int, others: np.ndarray, threshold: float, least: dict[int, int]) -> np.ndarray:
+    """Those of ``others`` whose pair with ``x`` size and posterior leave."""
+    own = size[others]
+    others = others[np.minimum(own, size[x]) >= threshold * np.maximum(own, size[x])]
+    matches = np.zeros(len(others), np.int32)
+    for n, m in least.items():
+        if not len(others):
+            break
+        matches += (sig[others, n - STEP : n] == sig[x, n - STEP : n]).sum(axis=1, dtype=np.int32)
+        keep = matches >= m
+        others, matches = others[keep], matches[keep]
+    return others
+
+
+def likely_groups(sig: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, least: dict[int, int]) -> np.ndarray:
+    """The root of each row in the graph of surviving pairs of ``left`` and ``right``, found by breadth-first search: a row
+    is compared only with rows that no group has reached yet, so a group of similar texts costs about a pass over it
+    and not all its pairs."""
+    root = np.arange(len(size))
+    both = left is right
+    free = [np.asarray(right), np.asarray(left)]  # not reached yet, by the side they stand on: right, left
+    for start in left.tolist():
+        if not both and start not in free[1] or both and start not in free[0]:
+            continue
+        side = 0 if both else 1
+        free[side] = free[side][free[side] != start]
+        wave = [(start, 0)]
+        while wave:
+            x, against = wave.pop()
+            found = surviving(sig, size, x, free[against], threshold, least) if len(free[against]) else free[against]
+            if len(found):
+                root[found] = start
+                free[against] = np.setdiff1d(free[against], found, assume_unique=True)
+                wave += [(y, 0 if both else 1 - against) for y in found.tolist()]
+    return root
+
+
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The least index that each of ``n`` nodes reaches over the pairs."""
     root = np.arange(n)
@@ -227,8 +264,7 @@ def similar_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
         us, vs = [], []
         for (_, p, q), (own, node, n, sig) in _groups(batches, 3):
             values = np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), COMPARED)
-            i, j = surviving_pairs(values, np.asarray(n), *_sides(own, p, q), threshold, least)
-            root = forest(len(node), i, j)
+            root = likely_groups(values, np.asarray(n), *_sides(own, p, q), threshold, least)
             for k in np.flatnonzero(root != np.arange(len(node))).tolist():
                 us.append(node[k])
                 vs.append(node[root[k]])
