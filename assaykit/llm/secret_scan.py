@@ -3,7 +3,7 @@
 Three base rules (assignments, access keys, hexadecimal runs) give labelled secrets. Beyond them, every run of 16 characters
 or more from the key alphabet is compared under two character Markov models of order one: one of random strings, trained on
 the values that the base rules found and on generated random strings, and one of ordinary identifiers, trained on runs of 8
-or more outside base matches. A run whose mean log-likelihood ratio per transition exceeds ``margin`` nats, that mixes two
+or more outside base matches that are no candidates themselves. A run whose mean log-likelihood ratio per transition exceeds ``margin`` nats, that mixes two
 of lower case, upper case and digits, that has ``MIN_DISTINCT`` different characters, and that meets no base span, is added
 as kind ``markov``.
 
@@ -95,14 +95,24 @@ def train(docs: DataFrame, train_docs: int = 20_000, generated: int = 2_000, smo
     for p in FAST:
         blank = F.regexp_replace(blank, p, " ")
     ordinary = sample.select(F.explode(F.regexp_extract_all(blank, F.lit(IDENTIFIER), F.lit(0))).alias("value"))
+    ordinary = ordinary.filter((F.length("value") < 16) | ~_mixed(F.col("value")))  # what the scan judges has no label
     both = transition_counts(found.unionAll(random_strings(docs, generated))).withColumn("k", F.lit(0))
     both = both.unionAll(transition_counts(ordinary).withColumn("k", F.lit(1)))
     k = len(ALPHABET)
-    counts = [[[smoothing] * k for _ in range(k)] for _ in range(2)]
+    counts = [[[0.0] * k for _ in range(k)] for _ in range(2)]
     for r in both.collect():  # at most 2 * len(ALPHABET)^2 rows
         counts[r.k][r.a][r.b] += r.n
-    logs = [[[math.log(c / sum(row)) for c in row] for row in m] for m in counts]
-    return [logs[0][a][b] - logs[1][a][b] for a in range(k) for b in range(k)]
+    one, two = (_log_transitions(c, smoothing) for c in counts)
+    return [one[a][b] - two[a][b] for a in range(k) for b in range(k)]
+
+
+def _log_transitions(counts: list[list[float]], smoothing: float, weight: float = 5.0) -> list[list[float]]:
+    """Log probabilities of the next character. A row leans on how often each character follows any other, with the weight
+    of ``weight`` observations: a character that identifiers seldom hold says nothing about its successors by itself."""
+    k = len(counts)
+    follows = [smoothing + sum(row[b] for row in counts) for b in range(k)]
+    share = [f / sum(follows) for f in follows]
+    return [[math.log((row[b] + weight * share[b]) / (sum(row) + weight)) for b in range(k)] for row in counts]
 
 
 def _score(value: Column, model: Column) -> Column:
