@@ -74,3 +74,19 @@ def release(spark: SparkSession) -> None:
     """Have the driver forget finished plans now, so that executors delete their shuffle files before the next step."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+_worker: dict[tuple, object] = {}
+
+
+def worker_cache(key: tuple, make):
+    """What a Python worker keeps between its tasks, for one operator at a time: asking for another drops it."""
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = make()
+    return _worker[key]
+
+
+def drop_worker_cache() -> None:
+    """For operators that need the worker's memory themselves."""
+    _worker.clear()

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.llm._common import arrow_batches, discard, materialize
+from assaykit.llm._common import arrow_batches, discard, materialize, worker_cache
 
 MAX_RUN = 64
 _LETTERS = re.compile(r"[^\W\d_]{1,%d}" % MAX_RUN)
@@ -148,16 +148,6 @@ def train(docs: DataFrame, train_docs: int = 5_000, vocabulary: int = 30_000, or
     return Model(kept[0], kept[1:], totals)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def _scorer(key: str, model: Model) -> Scorer:
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model)
-    return _scorers[key]
-
-
 def _with_scores(docs: DataFrame, model: Model, schema: T.StructType, finish) -> DataFrame:
     """``finish(batch, found)`` of each Arrow batch and its predictions, (language, score) for each row."""
     spark = docs.sparkSession
@@ -166,7 +156,7 @@ def _with_scores(docs: DataFrame, model: Model, schema: T.StructType, finish) ->
     key, at = uuid.uuid4().hex, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(key, shared.value)
+        scorer = worker_cache(("languages", key), lambda: Scorer(shared.value))
         for batch in batches:
             yield finish(batch, [scorer.predict(t) for t in batch.column(at).to_pylist()])
 

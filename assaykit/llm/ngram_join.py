@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit.llm import _shingles as S
-from assaykit.llm._common import arrow_batches, materialize, release
+from assaykit.llm._common import arrow_batches, drop_worker_cache, materialize, release
 from assaykit.llm._graph import connected_components
 
 STEP = 32
@@ -229,6 +229,7 @@ def similar_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
     n_values = max(bands * rows, COMPARED)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_cache()
         for batch in batches:
             raw, off = S.column_bytes(batch.column(2))
             shingles, at = S.shingle_hashes(*S.word_hashes(raw, off), width)
@@ -261,6 +262,7 @@ def similar_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
     dealt = _in_blocks(met, "key", F.col("size"), block)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_cache()
         us, vs = [], []
         for (_, p, q), (own, node, n, sig) in _groups(batches, 3):
             values = np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), COMPARED)
@@ -284,6 +286,7 @@ def similar_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
     dealt = _in_blocks(held, "root", F.col("size"), block)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_cache()
         for (_, p, q), columns in _groups(batches, 3):
             once = list({x: k for k, x in enumerate(columns[1])}.values())  # repeated rows of one document are one text
             own, node, copies, n, sig, text = ([c[k] for k in once] for c in columns)

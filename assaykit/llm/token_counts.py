@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.llm import _shingles as S
-from assaykit.llm._common import arrow_batches, text_of
+from assaykit.llm._common import arrow_batches, text_of, worker_cache
 
 SCHEMA = "doc_id bigint, section bigint, start bigint, n_chars bigint, n_tokens double, n_crossing bigint"
 RULES = ("largest", "first", "split")
@@ -54,14 +54,9 @@ class ByteTokens:
         return np.cumsum(self.lengths[self.encoding.encode_ordinary(text)])
 
 
-_vocabularies: dict[tuple[str, str], ByteTokens] = {}
-
-
 def vocabulary(path: str, pattern: str) -> ByteTokens:
     """One copy for each Python worker."""
-    if (path, pattern) not in _vocabularies:
-        _vocabularies[path, pattern] = ByteTokens(path, pattern)
-    return _vocabularies[path, pattern]
+    return worker_cache(("bytes", path, pattern), lambda: ByteTokens(path, pattern))
 
 
 def char_spans(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm import _shingles as S
-from assaykit.llm._common import arrow_batches, text_of
+from assaykit.llm._common import arrow_batches, text_of, worker_cache
 
 RESULT = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 SEQUENCES_PER_BATCH = 256
@@ -131,14 +131,9 @@ class WordEncoder:
             i = j
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder for each Python worker, so that its cache serves all tasks that the worker runs."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return worker_cache(("words", path), lambda: WordEncoder(path))
 
 
 def _list_type(kind: pa.DataType, seq_len: int) -> pa.DataType:
