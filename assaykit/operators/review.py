@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ PRIORITIES = {
 }
 DEFAULT_PRIORITY = 30
 DECISIONS = ("accept", "modify", "reject")
+# What apply_decisions() changes.
+EDITABLE = ("value_num", "unit", "metric", "entity", "condition")
 IMMUTABLE = ("id", "doc_id", "source_hash", "local_path", "source.doc_id", "source.source_hash", "source.local_path")
 
 
@@ -59,6 +62,12 @@ def check_decision(decision: str, reviewer: str, changes: dict | None) -> str:
     for path in changes or {}:
         if not str(path).strip() or any(path == p or path.startswith(p + ".") for p in IMMUTABLE):
             raise ReviewError(f"{path!r} is provenance and stays")
+        if path not in EDITABLE:
+            raise ReviewError(f"{path!r} is none of {EDITABLE}, which a decision can change")
+        value = changes[path]
+        number = isinstance(value, (int, float)) and not isinstance(value, bool) and math.isfinite(value)
+        if not (number if path == "value_num" else isinstance(value, str)):
+            raise ReviewError(f"{path!r} does not take {value!r}")
     return d
 
 
@@ -106,7 +115,7 @@ def apply_decisions(samples: DataFrame, decisions: DataFrame) -> DataFrame:
     passed, license_only = F.col("status") == "pass", F.col("failure_mode") == "license_unknown"
     mode = F.when(accept & ~passed, "human_accept_unverified").when(accept & license_only, F.col("failure_mode")).when(accept, F.lit(None)).when(reject, "human_rejected").otherwise(F.col("failure_mode"))
     change = lambda c: F.get_json_object("changes", f"$['{c}']")
-    edited = {c: F.when(modify & change(c).isNotNull(), change(c).cast(dict(samples.dtypes)[c])).otherwise(F.col(c)) for c in ("value_num", "unit", "metric", "entity", "condition") if c in samples.columns}
+    edited = {c: F.when(modify & change(c).isNotNull(), change(c).cast(dict(samples.dtypes)[c])).otherwise(F.col(c)) for c in EDITABLE if c in samples.columns}
     s = s.withColumn("_mode", mode).withColumns(edited)
     s = s.withColumn("needs_review", F.when(accept | reject, F.lit(False)).otherwise(F.col("needs_review"))).withColumn("failure_mode", F.col("_mode")).drop("_mode", "changes")
     return s.withColumn("bucket", F.when(reject, "rejected").otherwise(curate.bucket()))
