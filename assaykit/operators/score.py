@@ -191,13 +191,13 @@ def gate_rejections(samples: DataFrame) -> DataFrame:
 def contaminate(samples: DataFrame) -> DataFrame:
     """One copy for each case, of the first sample in order that suits it and no earlier case has taken.
 
-    Cases are five and every sample suits all but the first, so five candidates decide; nothing else is collected."""
+    Cases are five, so of the samples that suit a case five candidates decide; nothing else is collected."""
     first_number = samples.filter("value_num IS NOT NULL").orderBy("ord").select("ord").limit(1).collect()
-    others = samples.orderBy("ord").select("ord", F.size("evidence").alias("e"), F.size("path").alias("p")).limit(len(CASES) + 1).collect()
+    suited = {c: [r["ord"] for r in samples.filter(F.size(c) > 0).orderBy("ord").select("ord").limit(len(CASES)).collect()] for c in ("evidence", "path")}
     taken: list = [first_number[0]["ord"]] if first_number else []
     chosen = {CASES[0][0]: taken[0]} if taken else {}
     for name, _ in CASES[1:]:
-        base = next((r["ord"] for r in others if r["ord"] not in taken and r["e" if "evidence" in name else "p"] > 0), None)
+        base = next((at for at in suited["evidence" if "evidence" in name else "path"] if at not in taken), None)
         if base is not None:
             taken.append(base)
             chosen[name] = base
@@ -220,13 +220,15 @@ def contaminate(samples: DataFrame) -> DataFrame:
 
 
 def adversarial_report(cases: DataFrame) -> DataFrame:
-    """Per case: the mode found, whether the verifier rejects it, and whether it would pass without the verifier."""
+    """Per case (with no base_id where no sample suits it): the mode found, whether the verifier rejects it, and whether it would pass without the verifier."""
     gates = curate.gate_states()
     rest = gates["license"] & gates["evidence"] & gates["acquisition_path"] & gates["quality"]
     expected = F.element_at(F.create_map(*[F.lit(x) for c in CASES for x in c]), F.col("case"))
-    return cases.select("case", "base_id", expected.alias("expected_mode"), F.col("failure_mode").alias("observed_mode"), (F.col("status") != "pass").alias("rejected"), rest.alias("selected_without_verifier"))
+    found = cases.select("case", "base_id", F.col("failure_mode").alias("observed_mode"), (F.col("status") != "pass").alias("rejected"), rest.alias("selected_without_verifier"))
+    names = cases.sparkSession.createDataFrame([(name,) for name, _ in CASES], "case string").withColumn("expected_mode", expected)
+    return names.join(found, "case", "left").select("case", "base_id", "expected_mode", "observed_mode", "rejected", "selected_without_verifier")
 
 
 def adversarial_summary(report: DataFrame) -> DataFrame:
-    n = F.count("*")
+    n = F.count("base_id")
     return report.agg(n.alias("cases"), F.count_if("rejected").alias("rejected"), rate(F.count_if("rejected"), n).alias("rejection_rate"), F.count_if("selected_without_verifier").alias("bypass"), rate(F.count_if("selected_without_verifier"), n).alias("bypass_rate"))
