@@ -16,8 +16,8 @@ Defined results
 * an empty table: no rows; extra columns of either table are ignored; repeated rows are judged each.
 
 Scale: texts are read once. Repeats within a text are found inside its row, by sorting hashes of its windows, without a
-shuffle. The features are written to the shared folder; labels meet them in one join; thresholds are at most
-``max_strata`` rows (the strata with most labels; others keep their documents), which bounds what is broadcast.
+shuffle. The features are written to the shared folder; labels meet them in one join. Every labelled stratum has its
+thresholds, which are broadcast up to ``BROADCAST`` strata and joined as Spark sees fit beyond, with the same result.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from assaykit.llm._common import GAP, SPACE, materialize, text_of
 
+#: Strata whose thresholds are broadcast.
+BROADCAST = 1024
 #: The symbols that the contract counts.
 SYMBOLS = "#*$%&|<>"
 RULES = ("symbols", "capitals", "repeats", "doubles")
@@ -92,7 +94,7 @@ def log_binomial_tail(k: str, n: str, p: float) -> Column:
     return F.expr(f"CASE WHEN {k} >= {n} * {p!r}D THEN 0D ELSE {top} + ln({total}) END")
 
 
-def thresholds(holdout: DataFrame, alpha: float, delta: float, max_strata: int) -> DataFrame:
+def thresholds(holdout: DataFrame, alpha: float, delta: float) -> DataFrame:
     """One row per stratum with a cutoff for each rule (null: open). ``holdout``: stratum, good, and the rules' ratios."""
     grid = F.array(*map(F.lit, GRID))
     long = holdout.select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("x")) for r in RULES])).alias("r"))
@@ -103,10 +105,8 @@ def thresholds(holdout: DataFrame, alpha: float, delta: float, max_strata: int)
     at = counts.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(len(GRID) - 1))))
     hit = F.col("bin") > F.col("j")
     at = at.groupBy("stratum", "rule", "j", "n_good", "n_bad").agg(F.sum(F.when(hit, F.col("good")).otherwise(0)).alias("k"), F.sum(F.when(hit, F.col("bad")).otherwise(0)).alias("caught"))
-    rank = Window.orderBy(F.desc("n_good"), "stratum")
-    strata = at.select("stratum", "n_good").distinct().withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= max_strata)
-    strata = strata.withColumn("n_strata", F.count("*").over(Window.partitionBy())).select("stratum", "n_strata")
-    at = at.join(strata, "stratum").withColumn("log_p", log_binomial_tail("k", "n_good", alpha / len(RULES)))
+    total = holdout.agg(F.count_distinct("stratum").alias("n_strata"))
+    at = at.crossJoin(F.broadcast(total)).withColumn("log_p", log_binomial_tail("k", "n_good", alpha / len(RULES)))
     level = F.log(F.lit(delta) / (F.col("n_strata") * len(RULES) * len(GRID)))
     gap = F.coalesce(F.try_divide(F.col("caught"), F.col("n_bad")) - F.try_divide(F.col("k"), F.col("n_good")), F.lit(0.0))
     best = at.withColumn("gap", gap).filter((F.col("log_p") <= level) & (F.col("gap") > 0))
@@ -114,13 +114,14 @@ def thresholds(holdout: DataFrame, alpha: float, delta: float, max_strata: int)
     return best.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cut"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", alpha: float = 0.05, delta: float = 0.05, max_strata: int = 1024) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """Per document: the base counts, base_failed, and kept."""
     f = materialize(features(docs, stratum), "features")
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").alias("_id"), (F.col("quality") > 0).alias("good")).distinct()
     holdout = f.filter(~F.col("base_failed")).join(known, F.col("doc_id") == F.col("_id")).select("stratum", "good", *RULES)
-    cuts = thresholds(holdout, alpha, delta, max_strata).select(F.col("stratum").alias("_stratum"), *[F.col(r).alias(f"cut_{r}") for r in RULES])
-    judged = f.join(F.broadcast(cuts), F.col("stratum") == F.col("_stratum"), "left")
+    cuts = materialize(thresholds(holdout, alpha, delta).select(F.col("stratum").alias("_stratum"), *[F.col(r).alias(f"cut_{r}") for r in RULES]), "cuts")
+    few = cuts.count() <= BROADCAST
+    judged = f.join(F.broadcast(cuts) if few else cuts, F.col("stratum") == F.col("_stratum"), "left")
     rejected = F.lit(False)
     for r in RULES:
         rejected = rejected | F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False))
