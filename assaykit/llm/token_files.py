@@ -20,8 +20,8 @@ renames it when complete, so a retried or speculative task leaves the same file.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,6 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +40,40 @@ from assaykit.llm._common import arrow_batches, text_of, worker_cache
 
 RESULT = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 SEQUENCES_PER_BATCH = 256
-#: Letters and marks for which splitting, lower-casing and normal form agree between this module and the tokenizer file.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: The settings of tokenizer files that :class:`WordEncoder` may take apart.
+FAST = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+BLANKS = " \t\n\x0b\f\r"
+#: Pieces over so many bytes are hashed one at a time.
+LONG = 256
+LETTER, DIGIT, MARK, OTHER = 1, 2, 3, 4
+_ODD = S.U64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], S.U64)
+
+
+def _kinds() -> np.ndarray:
+    """The kind of each byte; 0 for white space."""
+    kinds = np.full(256, OTHER, np.uint8)
+    for c in range(0x21, 0x7F):
+        kinds[c] = LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else MARK
+    kinds[[ord(c) for c in BLANKS]] = 0
+    kinds[ord("'")] = OTHER
+    return kinds
+
+
+_KINDS = _kinds()
 
 
 class Part(NamedTuple):
@@ -51,83 +83,208 @@ class Part(NamedTuple):
     n_tokens: int
 
 
-class WordEncoder:
-    """Whole-text encoding for tokenizers whose pre-tokenizer drops white space.
+class PieceTable:
+    """Pieces of text that were encoded before, in flat arrays: sorted keys, and each key's bytes and ids.
+
+    A key only proposes; :meth:`find` compares the bytes. A table that has come to hold ``bound`` bytes starts anew with the
+    next texts."""
+
+    def __init__(self, dtype: np.dtype, bound: int):
+        self.dtype, self.bound = dtype, bound
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.slots = np.zeros(0, S.U64), np.zeros(0, np.int64)
+        self.text, self.text_at = np.zeros(8, np.uint8), np.zeros(1, np.int64)
+        self.ids, self.ids_at = np.zeros(0, self.dtype), np.zeros(1, np.int64)
+
+    def make_room(self) -> None:
+        if self.keys.nbytes * 4 + self.text.nbytes + self.ids.nbytes > self.bound:
+            self.clear()
+
+    def find(self, keys: np.ndarray, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The slot of each piece, -1 for those that the table lacks."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        slot = np.where(self.keys[at] == keys, self.slots[at], -1)
+        known = np.flatnonzero(slot >= 0)
+        own = self.text_at[slot[known]]
+        same = self.text_at[slot[known] + 1] - own == size[known]
+        same[same] = equal_bytes(raw, start[known][same], self.text, own[same], size[known][same])
+        slot[known[~same]] = -1
+        return slot
+
+    def add(self, keys: np.ndarray, texts: list[bytes], ids: list[bytes]) -> None:
+        n = len(self.text_at) - 1
+        text_size, id_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (texts, ids))
+        self.text = np.concatenate((self.text[:-8], np.frombuffer(b"".join(texts), np.uint8), np.zeros(8, np.uint8)))
+        self.text_at = np.concatenate((self.text_at, self.text_at[-1] + np.cumsum(text_size)))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(ids), self.dtype)))
+        self.ids_at = np.concatenate((self.ids_at, self.ids_at[-1] + np.cumsum(id_size // self.dtype.itemsize)))
+        order = np.argsort(keys)
+        place = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, place, keys[order])
+        self.slots = np.insert(self.slots, place, n + order)
+
+
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position, as one number; ``raw`` ends in eight bytes of padding."""
+    return np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+
+
+def equal_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes of ``a`` from ``at`` are those of ``b`` from ``bt``."""
+    one, two, same = _eights(a), _eights(b), np.ones(len(at), bool)
+    rest, k = np.flatnonzero(size > 0), 0
+    while len(rest) and k < LONG:
+        left = np.minimum(size[rest] - k, 8)
+        same[rest] &= ((one[at[rest] + k] ^ two[bt[rest] + k]) & _MASK[left]) == 0
+        k += 8
+        rest = rest[size[rest] > k]
+    for i in rest.tolist():  # the ends of very long ones
+        n = int(size[i])
+        same[i] &= bool((a[at[i] + k : at[i] + n] == b[bt[i] + k : bt[i] + n]).all())
+    return same
+
+
+def piece_keys(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each piece's bytes and length."""
+    eights, key = _eights(raw), size.astype(S.U64)
+    short = size <= LONG
+    rest, k = np.flatnonzero(short), 0
+    while len(rest):
+        key[rest] = S.mix(key[rest] * _ODD ^ (eights[start[rest] + k] & _MASK[np.minimum(size[rest] - k, 8)]))
+        k += 8
+        rest = rest[size[rest] > k]
+    for i in np.flatnonzero(~short).tolist():
+        key[i] = xxhash.xxh3_64_intdigest(raw[start[i] : start[i] + size[i]].tobytes())
+    return key
+
+
+def cut_pieces(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, start and end of the pieces, and whether a piece is a word to be encoded as it is.
+
+    A plain word falls into runs of letters, single digits and runs of marks, as the tokenizer file has it; a word with any
+    other character, an apostrophe, or the beginning of a special token is one piece."""
+    kind = _KINDS[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    latin = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+    kind[latin] = kind[latin + 1] = LETTER
+    kind[:-1][(raw[:-1] == 0x3C) & (raw[1:] == 0x7C)] = OTHER
+    ink = kind > 0
+    edge = np.diff(ink.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    if (odd := np.flatnonzero(kind == OTHER)).size:
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        words = np.unique(np.searchsorted(first, odd, "right") - 1)
+        inside = np.zeros(len(raw) + 1, np.int8)
+        inside[first[words]] += 1
+        inside[last[words]] -= 1
+        kind[np.cumsum(inside[:-1], dtype=np.int8) > 0] = OTHER
+    low = raw.copy()
+    letters = kind == LETTER
+    low[letters & (raw >= 0x41) & (raw <= 0x5A)] += 32
+    latin = latin[letters[latin] & (raw[latin + 1] < 0x9F)] + 1
+    low[latin] += 32
+    begins = ink & (kind == DIGIT)
+    begins[1:] |= ink[1:] & (kind[1:] != kind[:-1])
+    begins[:1] |= ink[:1]
+    start = np.flatnonzero(begins)
+    stops = ink.copy()
+    stops[:-1] &= begins[1:] | ~ink[1:]
+    return low, start, np.flatnonzero(stops) + 1, kind[start] == OTHER
+
 
-    Such a tokenizer never joins text across white space, so the ids of a text are those of its words in turn. Words are
-    remembered in a bounded two-generation cache; what a cache lacks is encoded by the library, many words to a call."""
+class WordEncoder:
+    """Whole-text encoding; fast for the tokenizer files whose settings are ``FAST``.
 
-    CAP = 500_000
+    Such a tokenizer lower-cases, drops white space and never joins text across it, so the ids of a text are those of its
+    pieces in turn. Texts are cut into pieces by array operations, equal pieces are found by key and confirmed by bytes, and
+    the library encodes those that the table lacks, many to a call. With any other file the library encodes whole texts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, bound: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
-        self.words: dict[bytes, bytes] = {}
-        self.old_words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        added = [t["content"] for t in settings.get("added_tokens") or ()]
+        fixed = {k: settings.get(k) for k in FAST} == FAST and settings["model"].get("type") == "BPE" and not settings["model"].get("dropout")
+        self.fast = fixed and all(t.startswith("<|") and not any(c in BLANKS for c in t) for t in added)
+        self.table = PieceTable(self.dtype, bound)
 
     def _packed(self, ids: list[int]) -> bytes:
         return np.asarray(ids, self.dtype).tobytes()
 
-    def _encode_pieces(self, missing: list[str]) -> None:
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [self._packed(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Each piece is one pre-token: joined by blanks, the k-th pre-token of the encoding is the k-th piece."""
-        for i in range(0, len(missing), 2000):
-            some = missing[i : i + 2000]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+        out: list[bytes] = []
+        for i in range(0, len(pieces), 2000):
+            some = pieces[i : i + 2000]
+            e = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
             ids, words = np.asarray(e.ids, self.dtype), np.asarray(e.word_ids, np.int64)
-            cut = np.searchsorted(words, np.arange(len(some) + 1))
-            size = ids.dtype.itemsize
-            data, cut = ids.tobytes(), (cut * size).tolist()
-            self.pieces.update((p, data[cut[k] : cut[k + 1]]) for k, p in enumerate(some))
-
-    def learn(self, words: set[bytes]) -> None:
-        """Make sure that the cache holds all of ``words``."""
-        if len(self.words) > self.CAP:
-            self.old_words, self.words = self.words, {}
-        if len(self.pieces) > self.CAP:
-            self.old_pieces, self.pieces = self.pieces, {}
-        split: dict[bytes, list[str]] = {}
-        missing: set[str] = set()
-        for w in words.difference(self.words):
-            if (known := self.old_words.get(w)) is not None:
-                self.words[w] = known
-                continue
-            text = w.decode("utf-8", "replace")
-            if _PLAIN.fullmatch(text) and "'" not in text and "<|" not in text:
-                split[w] = pieces = _PIECE.findall(text.lower())
-                for p in pieces:
-                    if p not in self.pieces:
-                        if (known := self.old_pieces.get(p)) is not None:
-                            self.pieces[p] = known
-                        else:
-                            missing.add(p)
-            else:
-                self.words[w] = self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if missing:
-            self._encode_pieces(sorted(missing))
-        for w, pieces in split.items():
-            self.words[w] = b"".join(map(self.pieces.__getitem__, pieces)) if len(pieces) > 1 else self.pieces[pieces[0]]
+            cut = (np.searchsorted(words, np.arange(len(some) + 1)) * self.dtype.itemsize).tolist()
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        return out
+
+    def _encode_bytes(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces of ``raw`` (ending in eight blanks) end to end, where each piece starts, and its first id."""
+        low, start, end, odd = cut_pieces(raw)
+        size = end - start
+        keys, at, which = np.unique(piece_keys(low, start, size), return_index=True, return_inverse=True)
+        if not equal_bytes(low, start, low, start[at][which], size).all() or (size != size[at][which]).any():
+            return self._apart(low, start, end, odd)
+        self.table.make_room()
+        slot = self.table.find(keys, low, start[at], size[at])
+        if (missing := np.flatnonzero(slot < 0)).size:
+            texts = [low[start[i] : end[i]].tobytes() for i in at[missing].tolist()]
+            own = odd[at[missing]]
+            ids: list = [b""] * len(texts)
+            for some, encoded in ((np.flatnonzero(~own).tolist(), self._encode_pieces), (np.flatnonzero(own).tolist(), lambda x: self._whole([t.decode() for t in x]))):
+                for i, x in zip(some, encoded([texts[i] for i in some]), strict=True):
+                    ids[i] = x
+            self.table.add(keys[missing], texts, ids)
+            slot = self.table.find(keys, low, start[at], size[at])
+            if (slot < 0).any():  # a key of the table with other bytes
+                return self._apart(low, start, end, odd)
+        first, count = self.table.ids_at[slot], self.table.ids_at[slot + 1] - self.table.ids_at[slot]
+        first, count = first[which], count[which]
+        ends = np.cumsum(count)
+        flat = self.table.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)]
+        return flat, start, np.concatenate(([0], ends))
+
+    def _apart(self, low: np.ndarray, start: np.ndarray, end: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same without the table, for two pieces of one key."""
+        texts = [low[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        ids = [self._whole([t.decode()])[0] if o else self._encode_pieces([t])[0] for t, o in zip(texts, odd.tolist(), strict=True)]
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // self.dtype.itemsize
+        return np.frombuffer(b"".join(ids), self.dtype), start, np.concatenate(([0], ends))
 
     def encode(self, raw: memoryview | bytes) -> bytes:
-        words = bytes(raw).split()
-        self.learn(set(words))
-        return b"".join(map(self.words.__getitem__, words))
+        return next(self.encode_column(pa.array([bytes(raw)], pa.binary())))
 
     def encode_column(self, column: pa.Array, piece: int = 4 << 20) -> Iterator[bytes]:
-        """Ids of each row, as bytes of ``dtype``; words are looked up for about ``piece`` bytes of texts at a time."""
+        """Ids of each row, as bytes of ``dtype``; pieces are looked up for about ``piece`` bytes of texts at a time."""
         raw, off = S.column_bytes(column)
-        view, i, n = memoryview(raw), 0, len(off) - 1
+        i, n = 0, len(off) - 1
         while i < n:
             j = max(i + 1, int(np.searchsorted(off, off[i] + piece, "right")) - 1)
-            rows = [bytes(view[off[k] : off[k + 1]]).split() for k in range(i, j)]
-            self.learn(set().union(*rows))
-            get = self.words.__getitem__
-            for words in rows:
-                yield b"".join(map(get, words))
+            if not self.fast:
+                yield from self._whole([raw[off[k] : off[k + 1]].tobytes().decode() for k in range(i, j)])
+            else:
+                ends = off[i + 1 : j + 1] - off[i]
+                part = np.append(np.insert(raw[off[i] : off[j]], ends, 0x0A), np.full(8, 0x0A, np.uint8))  # rows end in a line feed
+                flat, start, at = self._encode_bytes(part)
+                cut = at[np.searchsorted(start, ends + np.arange(1, j - i + 1))]
+                data, cut = flat.tobytes(), (np.concatenate(([0], cut)) * self.dtype.itemsize).tolist()
+                for a, b in zip(cut, cut[1:], strict=False):
+                    yield data[a:b]
             i = j
 
 
