@@ -2,22 +2,30 @@
 
 A known word scores its log frequency in each language. An unseen word falls back to its character n-grams, bounded by word
 marks, of the longest order of which at least one is known, and scores their mean log frequency; the order falls from
-``orders`` to 1. A document's score is the sum over all its words, and the prediction the best language, with its
-posterior under equal priors. Words are runs of letters, lower-cased; runs over ``MAX_RUN`` letters count in pieces.
+``orders`` to 1. A document's score is the sum over all its words, and the prediction the best language. Words are runs of
+letters, lower-cased; runs over ``MAX_RUN`` letters count in pieces.
 
-The model is bounded by documented parameters: it is fitted on about ``train_docs`` labelled documents of each language,
-chosen by a hash of their text, and keeps the ``vocabulary`` most frequent words and the ``grams`` most frequent n-grams of
-each order; that, at most, is collected and broadcast. Prediction reads every text whole.
+The posterior of the best language, under equal priors, is 1 for nearly any text of some length, whatever its language. The
+score therefore multiplies it with the *fit*: how far the words are known. A word counts 1 if it is in the vocabulary and
+``k / (orders + 1)`` if it fell back to order ``k``; a document's mean of that, with ``PRIOR`` words at the language's level
+added, is placed between the mean of random letters (fit 0) and the level (fit 1), which is the lowest hundredth of the
+language's training documents. Half the way is the natural cutoff.
+
+The model is bounded by documented parameters: it is fitted on ``train_docs`` labelled documents of each language at most,
+those of least hash of text and id, and keeps the ``vocabulary`` most frequent words and the ``grams`` most frequent n-grams
+of each order; that, at most, is collected and broadcast. Prediction reads every text whole.
 
 Defined results
 ---------------
 * null text, or text without a letter: ``und`` with score 0; repeated rows are predicted each; an empty table: no rows;
-* no labelled document: every text is ``und``; ties go to the language that sorts first; extra columns are kept by
-  :func:`predict` (those named as its two results are replaced) and :func:`keep_identified`, and ignored in training.
+* no labelled document: every text is ``und``; ties go to the language that sorts first; very long texts are read whole;
+* a null doc_id is predicted and not held out, and takes no part in training; extra columns are kept by :func:`predict`
+  (those named as its two results are replaced) and :func:`keep_identified`, and ignored in training.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import uuid
 from collections import Counter
@@ -25,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +42,9 @@ from assaykit.llm._common import arrow_batches, discard, materialize, worker_cac
 MAX_RUN = 64
 _LETTERS = re.compile(r"[^\W\d_]{1,%d}" % MAX_RUN)
 CACHE = 200_000
+LARGEST = (1 << 63) - 1
+#: Words at the language's level that every document is taken to have besides its own.
+PRIOR = 3
 
 
 def words_of(text: str) -> list[str]:
@@ -61,38 +72,53 @@ class Model:
 
         self.words = logs(words, total[0])
         self.grams = [logs(g, total[k + 1]) for k, g in enumerate(grams)]
-
-    def unseen(self, word: str) -> np.ndarray:
+        self.noise, self.levels = 0.0, np.zeros(len(self.langs))
+
+    def calibrate(self, levels: dict[str, float], words: int = 2000) -> None:
+        """Set the level of each language, and that of random words over the letters of the model."""
+        letters = sorted(c for c in (self.grams[0][0] if self.grams else ()) if c.isalpha())
+        rng = random.Random(0)
+        made = ["".join(rng.choices(letters, k=rng.randint(4, 10))) for _ in range(words if letters else 0)]
+        self.noise = sum(self.unseen(w)[1] if w not in self.words[0] else 1.0 for w in made) / max(len(made), 1)
+        self.levels = np.array([levels.get(x, 0.0) for x in self.langs])
+
+    def fit(self, best: int, known: float, words: int) -> float:
+        level = float(self.levels[best])
+        if level <= self.noise:
+            return 1.0
+        mean = (known + PRIOR * level) / (words + PRIOR)
+        return min(max((mean - self.noise) / (level - self.noise), 0.0), 1.0)
+
+    def unseen(self, word: str) -> tuple[np.ndarray, float]:
+        """Scores of a word by its n-grams, and how far it is known."""
         marked = f"<{word}>"
         for order in range(len(self.grams), 0, -1):
             index, table = self.grams[order - 1]
             rows = [r for i in range(len(marked) - order + 1) if (r := index.get(marked[i : i + order])) is not None]
             if rows:
-                return table[rows].mean(axis=0)
-        return np.zeros(len(self.langs))
+                return table[rows].mean(axis=0), order / (len(self.grams) + 1)
+        return np.zeros(len(self.langs)), 0.0
 
 
 class Scorer:
-    """Rows of scores for the words met so far: the vocabulary, then unseen words up to ``CACHE``."""
+    """Rows of scores for the words met so far: the vocabulary, then unseen words up to ``CACHE``. The last column says how
+    far a word is known."""
 
     def __init__(self, model: Model):
         self.model = model
         index, table = model.words
-        self.fixed = len(index)
         self.rows = dict(index)
-        self.table = np.concatenate((table, np.zeros((CACHE, len(model.langs)))))
+        self.table = np.concatenate((np.column_stack((table, np.ones(len(table)))), np.zeros((CACHE, len(model.langs) + 1))))
 
     def row(self, word: str) -> int:
         at = len(self.rows)
-        self.table[at] = self.model.unseen(word)
+        self.table[at, :-1], self.table[at, -1] = self.model.unseen(word)
         self.rows[word] = at
         return at
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text or "")
-        if not words or not self.model.langs:
-            return "und", 0.0
-        total = np.zeros(len(self.model.langs))
+    def totals(self, words: list[str]) -> np.ndarray:
+        """Sums over the words: the score of each language, and how far they are known."""
+        total = np.zeros(len(self.model.langs) + 1)
         for i in range(0, len(words), CACHE):
             some = Counter(words[i : i + CACHE])
             if len(self.rows) + len(some) > len(self.table):
@@ -100,8 +126,17 @@ class Scorer:
             get, known = self.row, self.rows
             at = [r if (r := known.get(w)) is not None else get(w) for w in some]
             total += np.fromiter(some.values(), float, len(some)) @ self.table[at]
-        best = int(np.argmax(total))
-        return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
+        return total
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        words = words_of(text or "")
+        if not words or not self.model.langs:
+            return "und", 0.0
+        *scores, known = self.totals(words)
+        scores = np.array(scores)
+        best = int(np.argmax(scores))
+        posterior = float(1 / np.exp(scores - scores[best]).sum())
+        return self.model.langs[best], posterior * self.model.fit(best, float(known), len(words))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,16 +154,23 @@ def _grams(marked: Column, order: int) -> Column:
     return F.transform(starts, lambda i: F.struct(F.lit(order).alias("k"), F.substring(marked, i, F.lit(order)).alias("g")))
 
 
+def _sample(docs: DataFrame, train_docs: int) -> DataFrame:
+    """lang and text of ``train_docs`` labelled documents at most of each language, those of least hash. A first cut by the
+    language's share leaves about twice as many to be ranked."""
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    rank = F.xxhash64("text", "doc_id").bitwiseAND(F.lit(LARGEST))
+    labelled = labelled.select(F.col("lang").cast("string").alias("lang"), "text", rank.alias("h"), "doc_id")
+    below = F.when(F.col("n") <= 2 * train_docs, F.lit(LARGEST)).otherwise((2.0 * train_docs / F.col("n") * float(LARGEST)).cast("bigint"))
+    share = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("n")).select("_lang", below.alias("below"))
+    near = labelled.join(share, (F.col("lang") == F.col("_lang")) & (F.col("h") <= F.col("below")))
+    first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    return near.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= train_docs).select("lang", "text")
+
+
 def train(docs: DataFrame, train_docs: int = 5_000, vocabulary: int = 30_000, orders: int = 5, grams: int = 20_000) -> Model:
     """Fit on the labelled documents outside the held-out fold."""
     arrow_batches(docs.sparkSession)
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    labelled = labelled.select(F.col("lang").cast("string").alias("lang"), "text")
-    sizes = labelled.groupBy("lang").count().collect()  # one row per language
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(1e6 * min(1.0, train_docs / r["count"])))]) if sizes else None
-    if share is None:
-        return Model({}, [{}] * orders, {})
-    sample = labelled.filter(F.expr("pmod(xxhash64(text), 1000000L)") < F.element_at(share, F.col("lang")))
+    sample = materialize(_sample(docs, train_docs), "sample")
     counts = sample.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     marked = counts.select("lang", "n", F.concat(F.lit("<"), "word", F.lit(">")).alias("m"))
     none = F.array().cast("array<struct<k:int,g:string>>")
@@ -137,28 +179,39 @@ def train(docs: DataFrame, train_docs: int = 5_000, vocabulary: int = 30_000, or
     every = counts.select("lang", F.lit(0).alias("k"), F.col("word").alias("g"), "n").unionAll(exploded.groupBy("lang", "k", "g").agg(F.sum("n").alias("n")))
     every = materialize(every, "frequencies")
     table = every.groupBy("k", "g").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-    totals = {r["lang"]: [0] * (orders + 1) for r in sizes}
-    for r in every.groupBy("lang", "k").agg(F.sum("n").alias("n")).collect():
-        totals[r["lang"]][r["k"]] = r["n"]
+    totals: dict[str, list[int]] = {}
+    for r in every.groupBy("lang", "k").agg(F.sum("n").alias("n")).collect():  # one row per language and order
+        totals.setdefault(r["lang"], [0] * (orders + 1))[r["k"]] = r["n"]
     kept: list[dict[str, dict[str, int]]] = []
     for k in range(orders + 1):
         best = table.filter(F.col("k") == k).orderBy(F.desc("n"), "g").limit(grams if k else vocabulary)
         kept.append({r["g"]: r["by_lang"] for r in best.collect()})
-    discard(every)
-    return Model(kept[0], kept[1:], totals)
+    model = Model(kept[0], kept[1:], totals)
+    if totals:
+        known = _with_scores(sample, model, T.StructType.fromDDL("lang string, known double"), _known)
+        model.calibrate({r["lang"]: r["level"] for r in known.groupBy("lang").agg(F.percentile_approx("known", F.lit(0.01), F.lit(1000)).alias("level")).collect()})
+    discard(every, sample)
+    return model
+
+
+def _known(scorer: Scorer, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """How far the words of labelled texts are known; texts without a word are left out."""
+    rows = [(lang, scorer.totals(words)[-1] / len(words)) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (words := words_of(t))]
+    lang, known = zip(*rows, strict=True) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(known, pa.float64())], ["lang", "known"])
 
 
 def _with_scores(docs: DataFrame, model: Model, schema: T.StructType, finish) -> DataFrame:
-    """``finish(batch, found)`` of each Arrow batch and its predictions, (language, score) for each row."""
+    """``finish(scorer, batch)`` of each Arrow batch."""
     spark = docs.sparkSession
     arrow_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    key, at = uuid.uuid4().hex, docs.columns.index("text")
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = worker_cache(("languages", key), lambda: Scorer(shared.value))
         for batch in batches:
-            yield finish(batch, [scorer.predict(t) for t in batch.column(at).to_pylist()])
+            yield finish(scorer, batch)
 
     return docs.mapInArrow(run, schema)
 
@@ -166,9 +219,11 @@ def _with_scores(docs: DataFrame, model: Model, schema: T.StructType, finish) ->
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score``."""
     docs = docs.drop("lang_pred", "score")
+    at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    def add(batch: pa.RecordBatch, found: list[tuple[str, float]]) -> pa.RecordBatch:
+    def add(scorer: Scorer, batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [scorer.predict(t) for t in batch.column(at).to_pylist()]
         lang, score = zip(*found, strict=True) if found else ((), ())
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema.names)
 
@@ -177,8 +232,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """The rows of ``docs``, as they are, that have a language with at least that score."""
+    at = docs.columns.index("text")
 
-    def keep(batch: pa.RecordBatch, found: list[tuple[str, float]]) -> pa.RecordBatch:
+    def keep(scorer: Scorer, batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [scorer.predict(t) for t in batch.column(at).to_pylist()]
         return batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 
     return _with_scores(docs, model, docs.schema, keep)
