@@ -49,8 +49,8 @@ def test_language_id(docs, crowded, nothing, rows, spark):
 
 def test_backoff_takes_the_longest_known_order():
     m = language_id.Model({"word": {"a": 5}}, [{"w": {"a": 1}, "x": {"b": 3}}, {"<x": {"b": 2}}], {"a": [5, 1, 1], "b": [5, 3, 2]})
-    assert np.argmax(m.unseen("xq")) == 1 and np.allclose(m.unseen("xq"), m.grams[1][1][0])
-    assert np.allclose(m.unseen("qx"), m.grams[0][1][1]) and np.allclose(m.unseen("qq"), 0)
+    assert np.argmax(m.unseen("xq")[0]) == 1 and np.allclose(m.unseen("xq")[0], m.grams[1][1][0]) and m.unseen("xq")[1] == 2 / 3
+    assert np.allclose(m.unseen("qx")[0], m.grams[0][1][1]) and np.allclose(m.unseen("qq")[0], 0) and m.unseen("qq")[1] == 0
 
 
 # 2
@@ -132,37 +132,65 @@ def test_mixing(docs, crowded, nothing, rows):
             break
         target |= {s: 3.0 * own[s] for s in over}
         free -= over
-    for table in (crowded,):
-        out = mixing.mix_sources(table, block_words=64).collect()
-        assert Counter((r.doc_id, r.size) for r in out) == Counter((i, n) for i, _, n in sizes)
-        assert all(0 <= r.taken <= 3 * r.size for r in out)
-        by = Counter()
-        for r in out:
-            by[r.target] += r.taken
-        want = Counter()
-        for s in names:
-            want[round(target[s], 6)] += round(target[s])
-        assert {round(k, 6): v for k, v in by.items()} == dict(want)
-    again = mixing.mix_sources(docs.repartition(7), block_words=64).collect()
+    block = 16
+    out = mixing.mix_sources(crowded, block_words=block).collect()
+    order = lambda i: (hashlib.md5(str("null" if i is None else i).encode()).hexdigest(), i is not None, i or 0)
+    want, at, quotas = [], {}, {}
+    for s in names:
+        take = min(round(target[s]), 3 * own[s])
+        whole, part = divmod(take, own[s]) if own[s] else (0, 0)
+        quotas[s] = (whole * -(-own[s] // block) + -(-part // block), part, -(-own[s] // block))
+    slots, low = sum(q[0] for q in quotas.values()), 0
+    for s in names:
+        at[s] = (int(low / slots * 2**31), int((low + quotas[s][0]) / slots * 2**31))
+        low += quotas[s][0]
+    drawn = {s: [t for t in range(1, slots + 1) if at[s][0] <= t % 2**31 * 1327217885 % 2**31 < at[s][1]] for s in names}
+    for s in names:
+        quota, part, blocks = quotas[s]
+        took, first = Counter(), {}
+        for rank, slot in enumerate(drawn[s][:quota]):
+            b = rank % blocks
+            for word in range(b * block, part if rank == quota - 1 and part else min(own[s], (b + 1) * block)):
+                took[word] += 1
+                first.setdefault(word, slot)
+        place = 0
+        for i, n in sorted(((i, n) for i, x, n in sizes if x == s), key=lambda r: (*order(r[0]), r[1])):
+            span = range(place, place + n)
+            want.append((i, n, sum(took[w] for w in span), min((first[w] for w in span if w in first), default=None)))
+            place += n
+    assert Counter((r.doc_id, r.size, r.taken, r.first_slot) for r in out) == Counter(want)
+    assert all(0 <= r.taken <= 3 * r.size for r in out)
+    for s in names:
+        took = sum(t for (i, n, t, _), x in zip(want, [s for s in names for _, x, _ in sizes if x == s], strict=True) if x == s)
+        assert target[s] - 3 * block <= took <= target[s] + 1
+    again = mixing.mix_sources(docs.repartition(7), block_words=block).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, out))
     assert mixing.mix_sources(nothing).count() == 0
-    mixed = mixing.mixed_documents(crowded)
+
+
+def test_mixed_documents(crowded, nothing, rows):
+    mixed = mixing.mixed_documents(crowded, block_words=16)
     assert mixed.columns == crowded.columns
-    assert set(Counter(r.doc_id for r in mixed.select("doc_id").collect())) <= {r[0] for r in rows}
+    times = Counter()
+    for r in mixing.mix_sources(crowded, block_words=16).collect():
+        times[r.doc_id] += round(r.taken / r.size + 1e-9) if r.size else 0
+    got = [r.doc_id for r in mixed.select("doc_id").collect()]
+    assert Counter(got) == +times
+    first = {r.doc_id: r.first_slot for r in mixing.mix_sources(crowded, block_words=16).collect() if r.doc_id is not None and r.doc_id < 60}
+    seen = list(dict.fromkeys(i for i in got if i in first))
+    assert sum(first[a] <= first[b] for a, b in zip(seen, seen[1:])) >= 0.9 * (len(seen) - 1)  # in the order of the schedule
     assert mixing.mixed_documents(nothing).count() == 0
 
 
 def test_a_schedule_follows_its_weights(docs):
     sizes = docs.select("doc_id", "source", F.lit(100).cast("long").alias("size"))
     sources = mixing.targets(sizes, (5, 2, 1), 3, 10)
-    slots = mixing.schedule(sources, 10, chunk=16)
     quota = {r.rk: r.quota for r in sources.collect()}
-    got = Counter(r.rk for r in slots.collect())
-    assert dict(got) == {k: v for k, v in quota.items() if v}
-    ranks = {}
-    for r in slots.filter("slot IS NOT NULL").orderBy("slot").collect():
-        assert r["rank"] == ranks.get(r.rk, 0)
-        ranks[r.rk] = r["rank"] + 1
+    ranks = Counter()
+    for r in mixing.schedule(sources, 10, chunk=16).orderBy("slot").collect():
+        assert r["rank"] == ranks[r.rk]
+        ranks[r.rk] += 1
+    assert all(quota[k] - 3 <= ranks[k] <= quota[k] for k in quota)
 
 
 # 5
@@ -326,7 +354,8 @@ def dedup_lines(rows, least, chars=1):
 @pytest.mark.parametrize(("least", "batches", "fanout", "chars"), [(10, 4, 2, 1), (2, 5, 2, 1), (3, 1, 2, 3)])
 def test_line_dedup(docs, crowded, rows, least, batches, fanout, chars):
     table = docs if batches != 5 else crowded
-    same(line_dedup.dedup_lines(table, least, chars, batches, fanout), dedup_lines(rows, least, chars), "doc_id", "n_lines", "n_dropped", "kept_sha256")
+    for most in (1 << 20, 0):  # frequent keys broadcast, and joined
+        same(line_dedup.dedup_lines(table, least, chars, batches, fanout, most), dedup_lines(rows, least, chars), "doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
 def test_line_dedup_of_nothing(nothing):
