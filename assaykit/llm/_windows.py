@@ -13,31 +13,32 @@ from assaykit.llm._shingles import U64, mix
 
 BLOCK = 64
 PIECE = 1 << 20
-_TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_ODD = [U64((pow(0x5851F42D4C957F2D, k + 3, 1 << 64) * 0x9E3779B97F4A7C55) % (1 << 64) | 1) for k in range(12)]
+#: Two families of byte values and odd multipliers, for two independent hashes.
+_TABLES = [mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15 + 2 * family)) for family in range(2)]
+_ODDS = [[U64((pow(0x5851F42D4C957F2D, k + 3 + 16 * family, 1 << 64) * 0x9E3779B97F4A7C55) % (1 << 64) | 1) for k in range(12)] for family in range(2)]
 _PLACE = U64((1 << 28) - 1)
 
 
-def block_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def block_hashes(raw: np.ndarray, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the 8 and of the 64 bytes from each position that has them."""
-    h, eight = _TABLE[raw], None
+    h, eight, odd = _TABLES[family][raw], None, _ODDS[family]
     for level in range(6):
         half = 1 << level
-        h = h[:-half] * _ODD[level] + h[half:]
+        h = h[:-half] * odd[level] + h[half:]
         if half == 4:
             eight = h
     return eight, h
 
 
-def deep_hash(eight: np.ndarray, block: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+def deep_hash(eight: np.ndarray, block: np.ndarray, at: np.ndarray, depth: int, family: int = 0) -> np.ndarray:
     """Hash of the ``depth`` bytes from each of the positions ``at``; depth is a multiple of 8, at least 64."""
-    h = block[at]
+    h, odd = block[at], _ODDS[family]
     done = BLOCK
     while done + BLOCK <= depth:
-        h = h * _ODD[6] + block[at + done]
+        h = h * odd[6] + block[at + done]
         done += BLOCK
     while done < depth:
-        h = h * _ODD[7] + eight[at + done]
+        h = h * odd[7] + eight[at + done]
         done += 8
     return mix(h)
 
@@ -70,8 +71,8 @@ def pieces(off: np.ndarray, depth: int):
 
 
 def runs(raw: np.ndarray, off: np.ndarray, depth: int):
-    """For each piece: documents, first and last window and anchor of each run (bytes within the document), and the hashes
-    of anchor and run."""
+    """For each piece: documents, first and last window and anchor of each run (bytes within the document), the hash of the anchor,
+    and two hashes of the run."""
     for a, b, first, last in pieces(off, depth):
         if b - a < depth:
             continue
@@ -86,8 +87,12 @@ def runs(raw: np.ndarray, off: np.ndarray, depth: int):
         cut = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(at) != 1)) + 1
         lo, hi = at[np.concatenate(([0], cut))], at[np.concatenate((cut - 1, [len(at) - 1]))]
         pos = low[lo]
-        ends = deep_hash(eight, block, lo, depth) * _ODD[8] + deep_hash(eight, block, hi, depth) * _ODD[9]
-        run = mix(ends + ((hi - lo) * 1024 + (pos - lo)).astype(U64) * _ODD[10])
+        shape, both = ((hi - lo) * 1024 + (pos - lo)).astype(U64), []
+        for family in range(2):
+            short, long = (eight, block) if family == 0 else block_hashes(raw[a:b], family)
+            odd = _ODDS[family]
+            ends = deep_hash(short, long, lo, depth, family) * odd[8] + deep_hash(short, long, hi, depth, family) * odd[9]
+            both.append(mix(ends + shape * odd[10]))
         d = np.searchsorted(off, lo + a, "right") - 1
         base = off[d] - a
-        yield d, lo - base, hi - base, pos - base, mix(block[pos]), run
+        yield d, lo - base, hi - base, pos - base, mix(block[pos]), *both

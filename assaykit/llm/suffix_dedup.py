@@ -1,24 +1,26 @@
 """Removal of repeated byte strings: a depth-limited radix sort of suffixes, by most-significant-digit passes.
 
 Suffixes are ordered only through their first ``depth`` bytes, and only as far as groups of equal digits: a group of one
-needs no further pass, and a group that is equal through the depth is a repeated window. Digits are hashed, since groups
-must be equal, not in order. The passes take the digits of a window from its anchor outwards:
+needs no further pass, and a group that is equal through the depth is a repeated window. The passes:
 
 * pass 0: the 64 bytes of the window's anchor (see ``_windows``), a block that depends on the window's bytes alone. One row
-  stands for all consecutive windows of an anchor (a run of up to 137), which is what makes the pass affordable; the rows
-  are 1/70 of the bytes;
-* pass 1: the whole run. Runs that occur twice are repeated windows, each of them; runs whose anchor occurs once are done;
-* further passes, for runs that share their anchor but not their bytes: windows of offsets ``[p, q]`` before the anchor
-  share a core of ``depth - (q - p)`` bytes. A group of more than ``block`` runs is split in two offset ranges, each with a
-  longer core as its next digit, until groups fit a task or the core is the window; a task then orders the windows of its
-  groups through the full depth.
+  stands for all consecutive windows of an anchor (a run of up to 137), which is what makes the pass affordable: the rows
+  are 1/70 of the bytes, where a row for each suffix would shuffle many times the text;
+* pass 1: the whole run, by 128 bits of hash. Runs that occur twice are repeated windows, each of them; runs whose anchor
+  occurs once are done;
+* for runs that share their anchor but not their bytes, the windows at equal offsets from the anchor are ordered by eight
+  bytes a pass, from the first to the last, on the bytes themselves; groups of one drop out after each pass. That happens
+  within tasks. A group of more than ``block`` runs is first split: windows of offsets ``[p, q]`` before the anchor share a
+  core of ``depth - (q - p)`` bytes, and two halves of the offsets have longer cores as their next digit, until groups fit
+  a task or the core is the window, whose bytes are then compared.
 
 Every byte that a repeated window covers is removed; windows are judged on the input and never cross documents.
 
 Defined results
 ---------------
 * null or empty text: no bytes, nothing removed; texts shorter than ``depth`` bytes are kept; repeated rows repeat each other;
-* an empty table: no rows; extra columns are ignored; kept bytes need not be valid UTF-8, so results give their hash.
+* an empty table: no rows; extra columns are ignored; kept bytes need not be valid UTF-8, so results give their hash;
+* a null doc_id is kept; very long texts are cut into overlapping pieces for their hashes, and lose no window.
 
 Scale: counts combine map-side, so an anchor of a third of all rows costs a row per task. Text is shuffled twice, to meet
 its runs and its removed ranges. Group sizes never decide what a task holds beyond ``block`` runs of at most 336 bytes.
@@ -40,7 +42,7 @@ from assaykit.llm import _windows as W
 from assaykit.llm._common import arrow_batches, discard, materialize, release, text_of
 
 DOC = ["doc_id", "th"]
-RUN = "doc_id bigint, th bigint, lo bigint, span int, off int, a bigint, g bigint"
+RUN = "doc_id bigint, th bigint, lo bigint, span int, off int, a bigint, g bigint, f bigint"
 CORE = "key bigint, p int, q int, c bigint, doc_id bigint, th bigint, lo bigint, off int, content binary"
 RANGE = "doc_id bigint, th bigint, lo bigint, hi bigint"
 
@@ -55,7 +57,7 @@ def run_rows(docs: DataFrame, depth: int) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = S.column_bytes(batch.column(2))
-            for d, lo, hi, pos, a, g in W.runs(raw, off, depth):
+            for d, lo, hi, pos, a, g, f in W.runs(raw, off, depth):
                 at = pa.array(d)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -66,6 +68,7 @@ def run_rows(docs: DataFrame, depth: int) -> DataFrame:
                         pa.array((pos - lo).astype(np.int32)),
                         pa.array(a.view(np.int64)),
                         pa.array(g.view(np.int64)),
+                        pa.array(f.view(np.int64)),
                     ],
                     _names(RUN),
                 )
@@ -136,6 +139,32 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+def digit_passes(raw: np.ndarray, begin: np.ndarray, group: np.ndarray, weight: np.ndarray, depth: int) -> np.ndarray:
+    """Which of the windows that start at ``begin`` are equal, through ``depth`` bytes, to others of their group.
+
+    Windows stand ordered by group. Each pass takes the next eight bytes as the digit: groups whose digits differ are
+    ordered by it and fall into groups of equal digits, and groups of one window (by weight) are done."""
+    digits = np.ndarray((max(len(raw) - 7, 0),), ">u8", raw, strides=(1,))
+    alive, group = np.arange(len(begin)), np.asarray(group)
+    for d in range(0, depth, 8):
+        if not len(alive):
+            break
+        digit = digits[begin[alive] + d].astype(np.uint64)
+        edge = np.concatenate(([True], group[1:] != group[:-1]))
+        which = np.cumsum(edge) - 1
+        first = np.flatnonzero(edge)
+        split = np.zeros(len(first), bool)
+        split[which[digit != digit[first][which]]] = True
+        at = np.flatnonzero(split[which])
+        order = np.lexsort((digit[at], which[at]))
+        alive[at], digit[at] = alive[at[order]], digit[at[order]]
+        edge[1:] |= digit[1:] != digit[:-1]
+        which = np.cumsum(edge) - 1
+        more = (np.add.reduceat(weight[alive], np.flatnonzero(edge)) > 1)[which]
+        alive, group = alive[more], which[more]
+    return alive
+
+
 def repeated_in_groups(table: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows and ranges (row, first window, last window, all from the run's start) of repeated windows of single runs."""
     raw, start = S.column_bytes(table.column(8).cast(pa.large_binary()))
@@ -146,15 +175,13 @@ def repeated_in_groups(table: pa.Table, depth: int) -> tuple[np.ndarray, np.ndar
     count = np.maximum(last - first + 1, 0)
     row = np.repeat(np.arange(len(count)), count)
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[row]
-    eight, block = W.block_hashes(raw)
-    window = W.deep_hash(eight, block, start[row] + at, depth)
-    window = S.mix(window + (key.view(S.U64)[row] ^ (off[row] - at).astype(S.U64) * S.U64(0x9E3779B97F4A7C15)))
-    order = np.argsort(window, kind="stable")
-    edge = np.flatnonzero(np.concatenate(([True], np.diff(window[order]) != 0)))
-    total = np.add.reduceat(c[row[order]], edge) if len(edge) else np.zeros(0, np.int64)
-    seen = np.empty(len(window), np.int64)
-    seen[order] = np.repeat(total, np.diff(np.append(edge, len(order))))
-    keep = np.flatnonzero((seen > 1) & (c[row] == 1))
+    begin = start[row] + at
+    head = np.cumsum(np.concatenate(([0], ((np.diff(key) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)).astype(np.int64)))) if len(key) else key
+    group = head[row] * 2 * depth + off[row] - at
+    order = np.argsort(group, kind="stable")
+    found = digit_passes(raw, begin[order], group[order], c[row[order]], depth)
+    keep = np.sort(order[found])
+    keep = keep[c[row[keep]] == 1]
     row, at = row[keep], at[keep]
     if not len(row):
         return row, at, at
@@ -186,6 +213,11 @@ def repeated_ranges(cores: DataFrame, depth: int, block: int) -> DataFrame:
         if not sizes.filter(F.col("n") > block).limit(1).count():
             break
         large = met.filter(F.col("n") > block)
+        # One window each, which its group's digit has told from all others; the least and the largest of them agree.
+        whole = large.filter("p = q").withColumn("window", F.substring("content", F.col("off") - F.col("p") + 1, F.lit(depth)))
+        told = whole.groupBy(*[F.col(k).alias(f"_{k}") for k in group]).agg((F.min("window") == F.max("window")).alias("same"))
+        if told.filter("NOT same").limit(1).count():
+            raise RuntimeError("two windows of one digit differ")
         equal = large.filter((F.col("p") == F.col("q")) & (F.col("c") == 1))
         begin = F.col("lo") + F.col("off") - F.col("p")
         found.append(materialize(equal.select(*DOC, begin.alias("lo"), (begin + depth).alias("hi")), "ranges"))
@@ -239,20 +271,22 @@ def remove_repeats(docs: DataFrame, depth: int = 200, block: int = 4096) -> Data
     arrow_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_of()).alias("th"), text_of().alias("text"))
     rows = run_rows(docs, depth)
-    groups = rows.groupBy("a").agg(F.count("*").alias("n"), F.min("g").alias("g1"), F.max("g").alias("g2")).filter("n > 1")
-    groups = groups.select(F.col("a").alias("_a"), (F.col("g1") != F.col("g2")).alias("mixed"))
+    ends = [f(x).alias(f"{name}_{x}") for x in ("g", "f") for name, f in (("min", F.min), ("max", F.max))]
+    groups = rows.groupBy("a").agg(F.count("*").alias("n"), *ends).filter("n > 1")
+    # Written, so that both sides of the join are plain shuffles, of which Spark splits a hot anchor's rows over tasks.
+    groups = materialize(groups.select(F.col("a").alias("_a"), F.expr("min_g <> max_g OR min_f <> max_f").alias("mixed")), "anchors")
     shared = materialize(rows.join(groups, F.col("a") == F.col("_a")).select(*rows.columns, "mixed"), "runs")
     release(spark)
     mixed = shared.filter("mixed")
-    counts = mixed.groupBy("a", "g").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "lo", "span", "off")).alias("r"))
-    counts = materialize(counts.select("a", "g", "c", "r.*"), "distinct")
+    counts = mixed.groupBy("a", "g", "f").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "lo", "span", "off")).alias("r"))
+    counts = materialize(counts.select("a", "g", "f", "c", "r.*"), "distinct")
     cores = materialize(run_contents(docs, counts, depth), "cores")
     release(spark)
     ranges = repeated_ranges(cores, depth, block)
     discard(cores)
-    whole = counts.filter("c > 1").select(F.col("a").alias("_a"), F.col("g").alias("_g"))
+    whole = counts.filter("c > 1").select(*[F.col(x).alias(f"_{x}") for x in "agf"])
     span = [*DOC, "lo", (F.col("lo") + F.col("span") + depth).alias("hi")]
     ranges = ranges.unionAll(shared.filter("NOT mixed").select(*span))
-    ranges = ranges.unionAll(mixed.join(whole, (F.col("a") == F.col("_a")) & (F.col("g") == F.col("_g"))).select(*span))
+    ranges = ranges.unionAll(mixed.join(whole, [F.col(x) == F.col(f"_{x}") for x in "agf"]).select(*span))
     release(spark)
     return strip(docs, ranges)
