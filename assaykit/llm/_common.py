@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +31,12 @@ def arrow_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary one."""
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, under a temporary folder, which only a driver whose
+    executors run in its own process can share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="assaykit-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/assaykit-{uuid.uuid4().hex}"
@@ -49,6 +53,15 @@ def materialize(df: DataFrame, name: str, sort: list[str] | None = None) -> Data
     return out
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` such that ``_metadata`` tells the file and place of each row: written first, unless it is read from files."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return materialize(docs, "documents")
+    return docs
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables made by :func:`materialize` that no later step reads."""
     for df in frames:

@@ -24,11 +24,10 @@ is ranked and summed in one task.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaykit.llm._common import materialize, n_words, text_of
+from assaykit.llm._common import materialize, n_words, placed, text_of
 
 #: Points lie on a grid of 2^31; the odd number nearest to 2^31 / phi steps through all of it.
 GRID = 1 << 31
@@ -141,10 +140,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block_words: int = 128, bucket_docs: int = 1000) -> DataFrame:
     """The mix as documents, all columns kept, in the order of the schedule: each row as often as the mix takes it, to the
     nearest whole number, the k-th time where the k-th pass over its source takes its first word."""
-    try:
-        docs.select("_metadata.row_index")
-    except AnalysisException:  # no rows of files: written, so that they have a place
-        docs = materialize(docs, "documents")
+    docs = placed(docs)
     # A row's file and place identify it; rows travel as one struct, so that no column of theirs can clash with the mix's.
     key = ["_file", "_at"]
     rows = docs.select(F.struct("*").alias("row"), F.unhex(F.md5("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_at"))

@@ -16,7 +16,8 @@ Defined results
 ---------------
 * null text: in a class of its own, no links; texts shorter than ``width`` words (and empty ones) link only to equal texts;
 * repeated rows are copies of each other; a null doc_id sorts first in its class; an empty table: no rows;
-* extra columns are ignored.
+* extra columns are ignored by :func:`join_documents` and kept by :func:`keep_one`; very long texts are read whole, and
+  those that may be linked stand in memory together, a pair of blocks at a time.
 """
 
 from __future__ import annotations
@@ -313,7 +314,8 @@ def similar_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
     linked = linked.join(firsts, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "first")
     out = nodes.select("node", "rep", "copies").join(linked, F.col("node") == F.col("_node"), "left").join(counts, F.col("node") == F.col("_u"), "left")
     first = F.coalesce(F.col("first"), F.struct("rep", "node"))
-    return out.select("node", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), first["rep"].alias("keeper_id"), first["node"].alias("keeper_node"))
+    # Written, so that a join to it is one of plain shuffles, of which Spark splits a text of many copies over tasks.
+    return materialize(out.select("node", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), first["rep"].alias("keeper_id"), first["node"].alias("keeper_node")), "classes")
 
 
 def join_documents(docs: DataFrame, **options) -> DataFrame:
@@ -321,13 +323,9 @@ def join_documents(docs: DataFrame, **options) -> DataFrame:
     equal texts included)."""
     classes = similar_classes(docs, **options)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5("text")).alias("_text"))
-    joined = rows.join(classes, F.col("_text") == F.col("node"), "left")
-    alone = F.col("node").isNull()
-    return joined.select(
-        "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("keeper_id")).alias("class_id"),
-        F.when(alone, F.lit(0)).otherwise(F.col("copies") - 1 + F.col("links")).cast("bigint").alias("n_links"),
-    )
+    met = rows.filter("_text IS NOT NULL").join(classes, F.col("_text") == F.col("node"))
+    met = met.select("doc_id", F.col("keeper_id").alias("class_id"), (F.col("copies") - 1 + F.col("links")).cast("bigint").alias("n_links"))
+    return met.unionAll(rows.filter("_text IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -269,7 +269,7 @@ class WordEncoder:
     def encode(self, raw: memoryview | bytes) -> bytes:
         return next(self.encode_column(pa.array([bytes(raw)], pa.binary())))
 
-    def encode_column(self, column: pa.Array, piece: int = 4 << 20) -> Iterator[bytes]:
+    def encode_column(self, column: pa.Array, piece: int = 1 << 19) -> Iterator[bytes]:
         """Ids of each row, as bytes of ``dtype``; pieces are looked up for about ``piece`` bytes of texts at a time."""
         raw, off = S.column_bytes(column)
         i, n = 0, len(off) - 1
@@ -410,8 +410,9 @@ class PartReader:
                 yield doc_id, start, n, crc
 
 
-def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int, seq_len: int = 2048) -> list[Part]:
-    """Encode all documents in ascending doc_id order into files under ``uri``; returns the parts in order."""
+def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int, seq_len: int = 2048, order: tuple[str, ...] = ("doc_id",)) -> list[Part]:
+    """Encode all documents, in ascending order of the columns ``order`` and then of text, into files under ``uri``; returns
+    the parts in order."""
     arrow_batches(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,13 +428,10 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int, se
             part, name, n_docs, n_tokens = writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([n_docs]), pa.array([n_tokens])], ["part", "file", "n_docs", "n_tokens"])
 
-    rows = (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(write, "part int, file string, n_docs bigint, n_tokens bigint")
-        .collect()
-    )
+    place = [f"_place{k}" for k in range(len(order))]
+    placed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"), *[F.col(c).alias(p) for c, p in zip(order, place, strict=True)])
+    placed = placed.repartitionByRange(*place).sortWithinPartitions(*place, "text")
+    rows = placed.select("doc_id", "text").mapInArrow(write, "part int, file string, n_docs bigint, n_tokens bigint").collect()
     return [Part(r.part, uri, r.n_docs, r.n_tokens) for r in sorted(rows, key=lambda r: r.part)]
 
 
