@@ -46,11 +46,12 @@ def test_run(spark, folder, rows, crowded):
         else:
             assert set(after) <= set(own) and max(after.values()) <= 3
     ids, start, want = token_files.encoder(public_tokenizers.path("word_bpe_49k.json")).tokenizer, 0, []
-    for (i, t), n in sorted(seen["mixing"].items(), key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[0][1])):
-        for _ in range(n):
-            own = np.array([*ids.encode(t, add_special_tokens=False).ids, 2], "<u4")
-            want.append((i, start, len(own), zlib.crc32(own.tobytes())))
-            start += len(own)
+    mixed = docs.select("doc_id", "text", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()
+    assert Counter((r.doc_id, r.text) for r in mixed) == seen["mixing"]
+    for r in mixed:  # in the order of the mix
+        own = np.array([*ids.encode(r.text, add_special_tokens=False).ids, 2], "<u4")
+        want.append((r.doc_id, start, len(own), zlib.crc32(own.tobytes())))
+        start += len(own)
     got = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want
 
