@@ -10,35 +10,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from assaykit.llm import decontamination, language_id, mixing, ngram_join, token_files
-from assaykit.llm._common import materialize, release, shared_dir, table
+from assaykit.llm._common import discard, materialize, placed, release, shared_dir, table
 
-#: Posterior below which a document's language counts as unknown.
+#: Score below which a document's language counts as unknown: half the way from random letters to known words.
 LEAST_SCORE = 0.5
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: neither ``und`` nor below LEAST_SCORE."""
+    """Documents whose language is known: neither ``und`` nor below LEAST_SCORE. Null and empty texts, and texts without a
+    letter, go; repeated rows and long texts are judged each, whole."""
     return language_id.keep_identified(docs, language_id.train(docs), LEAST_SCORE)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal or similar ones."""
+    """One document of each group of equal or similar ones, the least doc_id. Null texts all stay; of rows that agree in id
+    and text one stays."""
     return ngram_join.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null, empty and short texts hold none and stay."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
+    """Documents as often as the mix of their sources takes them, in the order of its schedule. Null and empty texts have no
+    words and are not taken; a null source is a source of its own."""
     return mixing.mixed_documents(docs)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the documents; their place in them, read back."""
-    parts = token_files.write_token_files(docs, shared_dir(spark), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    """Token files of the documents, in the order of the mix; their place in them, read back. Null and empty texts have the
+    end id alone."""
+    order = ("_metadata.file_name", "_metadata.row_index")
+    parts = token_files.write_token_files(placed(docs), shared_dir(spark), public_tokenizers.path("word_bpe_49k.json"), end_id=2, order=order)
     return token_files.read_token_files(spark, parts)
 
 
@@ -54,7 +59,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
         release(spark)
     return docs
 
