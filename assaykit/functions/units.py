@@ -9,29 +9,26 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unit spellings by dimension and base unit, with their factors.
-REGISTRY_TEXT = """
-concentration M: M=1 mM=1e-3 uM=1e-6 μM=1e-6 nM=1e-9 pM=1e-12 mol/L=1 mmol/L=1e-3 μmol/L=1e-6 umol/L=1e-6 nmol/L=1e-9
-mass_concentration mg/mL: mg/mL=1 ug/mL=1e-3 μg/mL=1e-3 ng/mL=1e-6
-activity_concentration U/ml: U/ml=1 U/mL=1
-length m: nm=1e-9 um=1e-6 μm=1e-6 mm=1e-3 cm=1e-2 m=1
-mass g: ng=1e-6 μg=1e-6 ug=1e-6 mg=1e-3 g=1 kg=1e3
-volume mL: uL=1e-3 μL=1e-3 mL=1 L=1e3
-time s: ms=1e-3 s=1 min=60 h=3600 day=86400 d=86400
-temperature K: K=1
-temperature C: C=1 °C=1
-pressure Pa: Pa=1 kPa=1e3 MPa=1e6 bar=1e5
-energy J: J=1 kJ=1e3
-energy eV: eV=1 keV=1e3
-power W: W=1 kW=1e3
-amount mol: mol=1 mmol=1e-3 μmol=1e-6 umol=1e-6 nmol=1e-9
-ratio %: %=1
-"""
-REGISTRY: dict[str, tuple[str, float, str]] = {
-    unit: (head.split()[0], float(factor), head.split()[1])
-    for head, _, tail in (line.partition(": ") for line in REGISTRY_TEXT.strip().splitlines())
-    for unit, _, factor in (word.rpartition("=") for word in tail.split())
+# By dimension and base unit, the spellings of units and their factors.
+DIMENSIONS = {
+    ("concentration", "M"): {"M": 1.0, "mM": 1e-3, "uM": 1e-6, "μM": 1e-6, "nM": 1e-9, "pM": 1e-12, "mol/L": 1.0, "mmol/L": 1e-3, "μmol/L": 1e-6, "umol/L": 1e-6, "nmol/L": 1e-9},
+    ("mass_concentration", "mg/mL"): {"mg/mL": 1.0, "ug/mL": 1e-3, "μg/mL": 1e-3, "ng/mL": 1e-6},
+    ("activity_concentration", "U/ml"): {"U/ml": 1.0, "U/mL": 1.0},
+    ("length", "m"): {"nm": 1e-9, "um": 1e-6, "μm": 1e-6, "mm": 1e-3, "cm": 1e-2, "m": 1.0},
+    ("mass", "g"): {"ng": 1e-6, "μg": 1e-6, "ug": 1e-6, "mg": 1e-3, "g": 1.0, "kg": 1e3},
+    ("volume", "mL"): {"uL": 1e-3, "μL": 1e-3, "mL": 1.0, "L": 1e3},
+    ("time", "s"): {"ms": 1e-3, "s": 1.0, "min": 60.0, "h": 3600.0, "day": 86400.0, "d": 86400.0},
+    ("temperature", "K"): {"K": 1.0},
+    ("temperature", "C"): {"C": 1.0, "°C": 1.0},
+    ("pressure", "Pa"): {"Pa": 1.0, "kPa": 1e3, "MPa": 1e6, "bar": 1e5},
+    ("energy", "J"): {"J": 1.0, "kJ": 1e3},
+    ("energy", "eV"): {"eV": 1.0, "keV": 1e3},
+    ("power", "W"): {"W": 1.0, "kW": 1e3},
+    ("amount", "mol"): {"mol": 1.0, "mmol": 1e-3, "μmol": 1e-6, "umol": 1e-6, "nmol": 1e-9},
+    ("ratio", "%"): {"%": 1.0},
 }
+#: unit: (dimension, factor, base unit)
+REGISTRY = {unit: (dimension, factor, base) for (dimension, base), factors in DIMENSIONS.items() for unit, factor in factors.items()}
 NEEDS_SPACE = ("C", "K", "g", "M")
 TIME_UNITS = ("ms", "s", "min", "h", "day", "d")
 MOLAR_UNITS = tuple(u for u, (dimension, _, _) in REGISTRY.items() if dimension == "concentration")

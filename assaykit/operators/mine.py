@@ -135,18 +135,17 @@ def cell_candidates(cells: DataFrame) -> DataFrame:
 def _prose(rows: DataFrame, stage: int, modality: str, container: str, key: str, read: str, reader: str) -> DataFrame:
     """Candidates of all measurements of a text: rows have id, page and text."""
     r = rows.withColumn("spans", units.spans(F.col("text"))).filter(F.size("spans") > 0)
-    r = r.withColumn("bound", prose.bind_all(F.col("text"), F.col("id"), F.col("spans")))
-    r = r.select("*", F.posexplode(F.arrays_zip("spans", "bound")).alias("n", "z")).drop("spans", "bound")
-    r = r.withColumn("shown", F.trim(F.expr("substring(text, z.spans.start + 1, z.spans.end - z.spans.start)")))
+    r = prose.interpret(r.select("*", F.posexplode("spans").alias("n", "span")).drop("spans"))
+    r = r.withColumn("shown", F.trim(F.expr("substring(text, span.start + 1, span.end - span.start)")))
     here = {key: F.col("id")} | ({"page": F.col("page")} if modality == "text" else {})
     return _shape(
         r, stage, ["ordinal", "n"],
-        id=tx.candidate_id(F.col("doc_id"), F.lit(container), F.col("id"), F.concat(F.lit("number-"), F.col("n").cast("string"))), task_type=F.lit("numeric_qa"), question=F.col("z.bound.question"),
-        value_num=F.col("z.spans.value"), unit=F.col("z.spans.unit"), display=F.col("shown"), uncertainty=F.col("z.spans.uncertainty"), metric=F.col("z.bound.metric"), entity=F.col("z.bound.entity"),
-        condition=F.col("z.bound.condition"), condition_fields=F.col("z.bound.fields"),
-        evidence=_evidence(modality, _locator(char_start=F.col("z.spans.start"), char_end=F.col("z.spans.end"), **here), F.col("shown")),
-        path=F.array(_step(1, read, reader, _args(**here), F.col("text")), _step(2, "extract_number_unit", "number_unit_parser", _args(text_from=F.lit(1), match_index=F.col("n")), F.to_json("z.spans"))),
-        page=F.col("page") if modality == "text" else F.lit(0), section_path=F.col("section_path"), core=F.col("z.bound.core"), context=F.col("text"),
+        id=tx.candidate_id(F.col("doc_id"), F.lit(container), F.col("id"), F.concat(F.lit("number-"), F.col("n").cast("string"))), task_type=F.lit("numeric_qa"), question=F.col("question"),
+        value_num=F.col("span.value"), unit=F.col("span.unit"), display=F.col("shown"), uncertainty=F.col("span.uncertainty"), metric=F.col("metric"), entity=F.col("entity"),
+        condition=F.col("condition"), condition_fields=F.col("fields"),
+        evidence=_evidence(modality, _locator(char_start=F.col("span.start"), char_end=F.col("span.end"), **here), F.col("shown")),
+        path=F.array(_step(1, read, reader, _args(**here), F.col("text")), _step(2, "extract_number_unit", "number_unit_parser", _args(text_from=F.lit(1), match_index=F.col("n")), F.to_json("span"))),
+        page=F.col("page") if modality == "text" else F.lit(0), section_path=F.col("section_path"), core=F.col("core"), context=F.col("text"),
     )
 
 

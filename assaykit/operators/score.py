@@ -92,41 +92,52 @@ def unmatched(samples: DataFrame, expected: DataFrame) -> DataFrame:
     return signed(samples).select("doc_id", "sig").distinct().join(expected.select("doc_id", expected_signature().alias("sig")), ["doc_id", "sig"], "left_anti")
 
 
-def score_documents(samples: DataFrame, expected: DataFrame) -> DataFrame:
+COUNTS = ("expected_claims", "predicted_claims", "matched_claims", "expected_locators", "predicted_locators", "right_locators", "found_locators", "condition_claims", "condition_matches", "table_value_claims", "table_value_matches")
+
+
+def score_documents(samples: DataFrame, expected: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """Per document (and whatever other keys ``samples`` carries in ``strategy``): recall, precision, locators, conditions,
-    table values. Claims count once, predicted locators as often as predicted."""
+    table values. Claims count once, predicted locators as often as predicted.
+
+    A document that has claims only, samples only, or (with ``documents``, column doc_id) neither, has its row too. Samples
+    are reduced to narrow rows first; each count is a row of one union, which is summed once."""
     keys = ["strategy", "doc_id"] if "strategy" in samples.columns else ["doc_id"]
-    s = signed(samples)
+    s = signed(samples).select(*keys, "sig", "loc", "condition", "value_num", "value_text", "unit", "metric", "entity", "uncertainty")
     e = expected.withColumns({"sig": expected_signature(), "loc": expected_locator()})
+    given = documents.select("doc_id").distinct() if documents is not None else None
     if "strategy" in keys:
-        e = e.crossJoin(F.broadcast(samples.select("strategy").distinct())) if "strategy" not in e.columns else e
-    claims, predicted = e.select(*keys, "sig").distinct(), s.select(*keys, "sig").distinct()
-    locs, seen = e.select(*keys, "loc").distinct(), s.select(*keys, "loc")
-    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
-    parts = [
-        count(claims, "expected_claims"),
-        count(predicted, "predicted_claims"),
-        count(claims.join(predicted, [*keys, "sig"], "left_semi"), "matched_claims"),
-        count(locs, "expected_locators"),
-        count(seen, "predicted_locators"),
-        count(seen.join(locs, [*keys, "loc"], "left_semi"), "right_locators"),
-        count(locs.join(seen, [*keys, "loc"], "left_semi"), "found_locators"),
-    ]
-    stated = e.filter("condition IS NOT NULL").select(*keys, "sig", F.col("condition").alias("want"), F.monotonically_increasing_id().alias("n"))
-    met = stated.join(s.select(*keys, "sig", F.col("condition").alias("have")), [*keys, "sig"], "left").groupBy(*keys, "n").agg(F.max(F.coalesce(condition_matches(F.col("have"), F.col("want")), F.lit(False))).alias("ok"))
-    parts.append(met.groupBy(*keys).agg(F.count("*").alias("condition_claims"), F.count_if("ok").alias("condition_matches")))
-    cells = e.filter("kind = 'table' AND value IS NOT NULL").select(*keys, "loc", F.col("value").alias("want"), *[F.col(c).alias(f"want_{c}") for c in ("unit", "metric", "entity", "uncertainty")], F.monotonically_increasing_id().alias("n"))
-    own = s.select(*keys, "loc", "value_num", "value_text", "unit", "metric", "entity", "uncertainty")
+        names = F.broadcast(samples.select("strategy").distinct())  # a row for each strategy
+        e = e if "strategy" in e.columns else e.crossJoin(names)
+        given = given.crossJoin(names) if given is not None else None
+    parts = [] if given is None else [given.select(*keys)]
+
+    def both(column: str) -> DataFrame:
+        want = e.select(*keys, column, F.lit(1).alias("want"), F.lit(0).alias("had"))
+        return want.unionAll(s.select(*keys, column, F.lit(0), F.lit(1))).groupBy(*keys, column).agg(F.max("want").alias("want"), F.sum("had").alias("had"))
+
+    wanted, had = F.col("want") > 0, F.col("had") > 0
+    count = lambda c: F.count_if(c)
+    parts.append(both("sig").groupBy(*keys).agg(count(wanted).alias("expected_claims"), count(had).alias("predicted_claims"), count(wanted & had).alias("matched_claims")))
+    located = both("loc").groupBy(*keys).agg(count(wanted).alias("expected_locators"), F.sum("had").alias("predicted_locators"), F.sum(F.when(wanted, F.col("had")).otherwise(0)).alias("right_locators"), count(wanted & had).alias("found_locators"))
+    parts.append(located)
+    # Claims that agree in all that is compared are one row with their number.
+    stated = e.filter("condition IS NOT NULL").groupBy(*keys, "sig", F.col("condition").alias("want")).agg(F.count("*").alias("n"))
+    met = stated.join(s.select(*keys, "sig", F.col("condition").alias("have")), [*keys, "sig"], "left")
+    met = met.groupBy(*keys, "sig", "want", "n").agg(F.max(F.coalesce(condition_matches(F.col("have"), F.col("want")), F.lit(False))).alias("ok"))
+    parts.append(met.groupBy(*keys).agg(F.sum("n").alias("condition_claims"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("condition_matches")))
+    said = [F.col("value").alias("want"), *[F.col(c).alias(f"want_{c}") for c in ("unit", "metric", "entity", "uncertainty")]]
+    cells = e.filter("kind = 'table' AND value IS NOT NULL").groupBy(*keys, "loc", *said).agg(F.count("*").alias("n"))
     agree = table_value_matches(F.col("value_num"), F.col("value_text"), F.col("want"))
     for c in ("unit", "metric", "entity"):
         agree = agree & (F.col(f"want_{c}").isNull() | (tx.casefold(F.trim(F.coalesce(c, F.lit("")))) == tx.casefold(F.trim(F.col(f"want_{c}")))))
     agree = agree & (F.col("want_uncertainty").isNull() | (F.abs(F.col("uncertainty") - F.col("want_uncertainty")) <= 1e-6))
-    hit = cells.join(own, [*keys, "loc"], "left").groupBy(*keys, "n").agg(F.max(F.coalesce(agree, F.lit(False))).alias("ok"))
-    parts.append(hit.groupBy(*keys).agg(F.count("*").alias("table_value_claims"), F.count_if("ok").alias("table_value_matches")))
-    out = e.select(*keys).distinct()
+    hit = cells.join(s.drop("sig", "condition"), [*keys, "loc"], "left").groupBy(*keys, *[c for c in cells.columns if c not in keys]).agg(F.max(F.coalesce(agree, F.lit(False))).alias("ok"))
+    parts.append(hit.groupBy(*keys).agg(F.sum("n").alias("table_value_claims"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("table_value_matches")))
+    every = None
     for p in parts:
-        out = out.join(p, keys, "left")
-    out = out.fillna(0)
+        row = p.select(*keys, *[(F.col(c) if c in p.columns else F.lit(0)).cast("bigint").alias(c) for c in COUNTS])
+        every = row if every is None else every.unionAll(row)
+    out = every.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTS])
     c = F.col
     return out.withColumns(
         {
@@ -140,6 +151,27 @@ def score_documents(samples: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
+LEVELS = ("candidates", "gold", "silver")
+
+
+def count_matches(samples: DataFrame, entries: DataFrame) -> DataFrame:
+    """Per document of ``entries`` (doc_id, expected: struct of candidates, gold and silver), and strategy: whether the numbers
+    of samples are those expected; null where nothing is expected."""
+    keys = ["strategy", "doc_id"] if "strategy" in samples.columns else ["doc_id"]
+    actual = samples.groupBy(*keys).agg(F.count("*").alias("candidates"), *[F.count_if(F.col("bucket") == b).alias(b) for b in LEVELS[1:]])
+    want = entries.select("doc_id", "expected")
+    want = want.crossJoin(F.broadcast(samples.select("strategy").distinct())) if "strategy" in keys else want
+    out = want.join(actual, keys, "left").fillna(0, list(LEVELS))
+    return out.select(*keys, *[(F.col(f"expected.{x}") == F.col(x)).alias(f"{x}_match") for x in LEVELS])
+
+
+def count_accuracy(matches: DataFrame) -> DataFrame:
+    """The share of documents, of those that expect a number, that have it."""
+    keys = ["strategy"] if "strategy" in matches.columns else []
+    share = lambda x: F.round(F.avg(F.col(f"{x}_match").cast("int")), 4).alias(f"{x}_accuracy")
+    return matches.groupBy(*keys).agg(*map(share, LEVELS))
+
+
 def score_strategies(per_document: DataFrame) -> DataFrame:
     """Claims pooled over documents; the other rates are means of the documents' rounded rates, weighted by their counts."""
     keys = ["strategy"] if "strategy" in per_document.columns else []

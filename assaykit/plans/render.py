@@ -33,6 +33,12 @@ def _package(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[v.alias(k) for k, v in (base | given).items()])
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by ``key`` to as many partitions as the session has for a shuffle: few bytes here are much work for a miner,
+    so partitions must not be merged by their bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
@@ -42,7 +48,7 @@ def part_documents(part: DataFrame, caption: str = "Collected after 24 h") -> Da
     cell = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
     row = F.array(cell("Sample", F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string"))), cell("Mass (mg)", F.col("p_size").cast("string")), cell("Pressure (kPa)", money("p_retailprice")))
     p = part.select(F.floor(F.col("p_partkey") / ROWS).alias("n"), F.col("p_partkey").alias("k"), row.alias("row"))
-    g = p.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "row"))), lambda x: x["row"]).alias("rows"))  # ROWS rows a group
+    g = _dealt(p, "n").groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "row"))), lambda x: x["row"]).alias("rows"))  # ROWS rows a group
     g = g.withColumn("doc_id", F.concat(F.lit("parts-"), F.col("n").cast("string")))
     one = F.struct(
         F.lit("Table 1").alias("id"), F.lit(0).alias("page"), F.lit(caption).alias("caption"), F.array(*map(F.lit, ("Sample", "Mass (mg)", "Pressure (kPa)"))).alias("columns"), F.col("rows"),
@@ -61,7 +67,7 @@ def order_documents(lineitem: DataFrame) -> DataFrame:
     """Articles of ROWS orders, a paragraph for each line item."""
     k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     rows = lineitem.select(F.floor(F.col("l_orderkey") / ROWS).alias("n"), k.alias("k"), sentence().alias("text"))
-    g = rows.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("lines"))  # the lines of ROWS orders
+    g = _dealt(rows, "n").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("lines"))  # the lines of ROWS orders
     g = g.withColumn("doc_id", F.concat(F.lit("orders-"), F.col("n").cast("string")))
     one = lambda x: F.struct(F.concat(F.lit("p"), x["k"].cast("string")).alias("id"), F.lit(0).alias("page"), x["text"].alias("text"), F.lit("").alias("section"), F.array(F.lit("Results")).alias("section_path"), _null("array<double>").alias("bbox"))
     return _package(g, paragraphs=F.transform("lines", one))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from assaykit.operators import curate, mine, publish, review, score
 from assaykit.operators.verify import replay, verify
 from assaykit.sources import readers
-from assaykit.sources.package import with_ordinal
+from assaykit.sources.package import stored, with_ordinal
 
 # The strategy to try after one that found too little.
 FALLBACKS = {"table_only": "result_focused", "result_focused": "multimodal", "multimodal": "full", "full": "multimodal"}
@@ -31,38 +31,64 @@ def finish(samples: DataFrame, order: str = "batch") -> DataFrame:
     return curate.settle(samples, order)
 
 
+VERIFIED = (
+    "status", "verify_mode", "recomputed", "evidence_checked", "enrich_mode", "contract_mode", "contract_errors", "result_type", "operations", "difficulty", "modalities", "duplicate_group_id",
+    "duplicate_status", "conflict_group_id", "conflict_mode", "dup_mode", "license_mode", "failure_mode", "needs_review", "bucket",
+)
+
+
 def reverify(samples: DataFrame, docs: DataFrame) -> DataFrame:
-    """Modified samples, verified against their source once more."""
-    kept = samples.drop("status", "verify_mode", "recomputed", "evidence_checked", "enrich_mode", "contract_mode", "contract_errors", "result_type", "operations", "difficulty", "modalities", "duplicate_group_id", "duplicate_status", "conflict_group_id", "conflict_mode", "dup_mode", "license_mode", "failure_mode", "needs_review", "bucket")
-    return finish(curate.contract(curate.enrich(verify(kept, docs))))
+    """Samples verified against their sources, enriched, checked against the contract and settled once more."""
+    return finish(curate.contract(curate.enrich(verify(samples.drop(*VERIFIED), docs))))
+
 
+def apply_review(samples: DataFrame, decisions: DataFrame, docs: DataFrame) -> DataFrame:
+    """Samples after their latest decisions, those that were changed verified again. A changed sample whose document is not
+    among ``docs`` stays as ``review.apply_decisions`` left it."""
+    done = review.apply_decisions(samples, decisions)
+    changed = F.coalesce(F.col("review_decision") == "modify", F.lit(False))
+    known = docs.select(F.col("doc_id").alias("_known")).distinct()
+    there = done.filter(changed).join(known, F.col("doc_id") == F.col("_known"), "left_semi")
+    away = done.filter(changed).join(known, F.col("doc_id") == F.col("_known"), "left_anti")
+    again = reverify(there, docs)
+    return done.filter(~changed).unionByName(away).unionByName(again.select(*done.columns))
 
-def run(spark: SparkSession, paths: list[str] | str, strategy: str = "result_focused", metadata: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
-    """(documents, samples) of files. One document is a batch of one."""
-    docs = readers.read_documents(spark, paths, metadata, **options).filter("error IS NULL")
+
+def run(spark: SparkSession, paths: list[str] | str, strategy: str = "result_focused", metadata: DataFrame | None = None, folder: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(documents, samples) of files. One document is a batch of one. Files are parsed once (see ``package.stored``)."""
+    docs = stored(readers.read_documents(spark, paths, metadata, **options).filter("error IS NULL"), folder)
     docs = with_ordinal(docs, "path")
     return docs, run_documents(docs, strategy)
 
 
-def run_manifest(spark: SparkSession, path: str, strategy: str = "result_focused") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, samples, expected claims) of a manifest."""
+def read_entries(spark: SparkSession, path: str, folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, expected claims, entries with doc_id and expected counts) of a manifest, its files parsed once."""
     entries = readers.read_manifest(spark, path)
-    paths = [r.path for r in entries.select("path").distinct().collect()]  # a manifest lists files by hand
+    paths = [r.path for r in entries.select("path").distinct().collect()]  # the file names that one manifest file lists
     parsed = readers.read_documents(spark, paths, entries.select("path", "metadata").dropDuplicates(["path"])).filter("error IS NULL")
-    docs = parsed.join(entries.select("path", F.col("entry_ordinal").alias("doc_ordinal")), "path")
-    expected = docs.select("path", "doc_id").dropDuplicates(["path"]).join(entries.select("path", F.explode("expected_claims").alias("c")), "path").select("doc_id", "c.*")
+    docs = stored(parsed.join(entries.select("path", F.col("entry_ordinal").alias("doc_ordinal")), "path"), folder)
+    known = docs.select("path", "doc_id").dropDuplicates(["path"]).join(entries.select("path", "expected", "expected_claims"), "path")
+    return docs, known.select("doc_id", F.explode("expected_claims").alias("c")).select("doc_id", "c.*"), known.select("doc_id", "expected")
+
+
+def run_manifest(spark: SparkSession, path: str, strategy: str = "result_focused") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, samples, expected claims) of a manifest."""
+    docs, expected, _ = read_entries(spark, path)
     return docs, run_documents(docs, strategy), expected
 
 
 def evaluate(spark: SparkSession, manifest: str, strategies: tuple[str, ...] = ("table_only", "full", "result_focused")) -> tuple[DataFrame, DataFrame]:
-    """(per document and strategy, per strategy)."""
-    samples, expected = None, None
+    """(per document and strategy, per strategy): claims, locators, conditions and values, and whether the numbers of samples
+    are those that the manifest expects."""
+    docs, expected, entries = read_entries(spark, manifest)
+    samples = None
     for strategy in strategies:
-        _, s, expected = run_manifest(spark, manifest, strategy)
-        s = s.withColumn("strategy", F.lit(strategy))
+        s = run_documents(docs, strategy).withColumn("strategy", F.lit(strategy))
         samples = s if samples is None else samples.unionByName(s)
-    by_document = score.score_documents(samples, expected)
-    return by_document, score.score_strategies(by_document)
+    samples = stored(samples)
+    matches = score.count_matches(samples, entries)
+    by_document = score.score_documents(samples, expected, entries).join(matches, ["strategy", "doc_id"], "left")
+    return by_document, score.score_strategies(by_document).join(score.count_accuracy(matches), "strategy")
 
 
 def contamination(samples: DataFrame, docs: DataFrame) -> DataFrame:
@@ -94,4 +120,4 @@ def retry(spark: SparkSession, paths: list[str] | str, strategy: str, previous_s
     return docs, samples, {"retried_strategy": strategy, "strategy": FALLBACKS[strategy], "previous_summary_sha256": digest}
 
 
-__all__ = ["FALLBACKS", "contamination", "evaluate", "finish", "replay", "retry", "reverify", "run", "run_documents", "run_manifest", "write_run"]
+__all__ = ["FALLBACKS", "apply_review", "contamination", "evaluate", "finish", "replay", "read_entries", "retry", "reverify", "run", "run_documents", "run_manifest", "write_run"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +23,25 @@ PACKAGE = (
 
 
 def with_ordinal(docs: DataFrame, *order: str) -> DataFrame:
-    """Number documents by the given columns: 'first wins' rules need an order that Spark does not keep by itself."""
-    return docs.withColumn("doc_ordinal", F.row_number().over(Window.orderBy(*order)) - 1)
+    """Number documents by the given columns: 'first wins' rules need an order that Spark does not keep by itself.
+
+    Only the keys go through the one global order; documents meet their numbers in a join. Documents that agree in all the
+    columns share a number."""
+    keys = docs.select(*order).distinct()
+    numbers = keys.select(*[F.col(c).alias(f"_{c}") for c in order], (F.row_number().over(Window.orderBy(*order)) - 1).alias("doc_ordinal"))
+    return docs.join(numbers, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in order]).drop(*[f"_{c}" for c in order])
+
+
+def stored(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """``docs`` written once, so that miners, verification and provenance read parsed packages and no file is parsed again:
+    in ``folder``, else under the cluster's ``spark.checkpoint.dir``; where neither is set, kept by the executors."""
+    spark = docs.sparkSession
+    base = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return docs.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{base.rstrip('/')}/documents-{uuid.uuid4().hex}"
+    docs.write.parquet(path)
+    return spark.read.schema(docs.schema).parquet(path)
 
 
 def _each(docs: DataFrame, column: str) -> DataFrame:

@@ -57,6 +57,14 @@ def read_documents(spark: SparkSession, paths: list[str] | str, metadata: DataFr
     return parse_documents(files, **options)
 
 
+def plain_path(path: Column, depth: int = 16) -> Column:
+    """The path without ``.`` and ``..`` parts, as readers of files give it; at most ``depth`` of the latter."""
+    out = F.regexp_replace(path, r"/(?:\./)+", "/")
+    for _ in range(depth):
+        out = F.regexp_replace(out, r"/(?!\.\./)[^/]+/\.\./", "/")
+    return out
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a manifest: ordinal, path (relative ones resolved against the manifest), metadata, expected counts and
     claims. An entry is a path or an object."""
@@ -67,7 +75,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     claim = "kind string, table_id string, row string, col string, task_type string, condition string, value string, uncertainty double, unit string, metric string, entity string, paragraph_id string, subject string, object string"
     return raw.select(
         "entry_ordinal",
-        F.when(item.startswith("/"), item).otherwise(F.concat(F.lit(folder + "/"), item)).alias("path"),
+        plain_path(F.when(item.startswith("/"), item).otherwise(F.concat(F.lit(folder + "/"), item))).alias("path"),
         get("metadata", "map<string,string>").alias("metadata"),
         get("expected", "struct<candidates:int,gold:int,silver:int>").alias("expected"),
         get("expected_claims", f"array<struct<{claim.replace(' ', ':').replace(',:', ',')}>>").alias("expected_claims"),

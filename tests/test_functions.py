@@ -58,35 +58,48 @@ def test_licenses(spark):
     assert column(spark, texts, tx.license_label) == ["CC-BY-4.0", "CC-BY-NC-SA", "public-domain", "CC-BY-SA-4.0", "unknown"] == [formats.license_of(t) for t in texts]
 
 
-def bound(text, display, unit):
-    at = text.index(display)
-    return prose.bind(text, at, at + len(display), "p1", unit)
-
-
-def test_prose_binding():
-    assert bound("Batch A achieved a yield of 85 % at last.", "85 %", "%")[1:] == ("yield", "Batch A")
-    assert bound("The IC50 was 13 μM in MCF-7 cells and 16 μM in MDA‐MB‐231 cells.", "13 μM", "μM")[1:] == ("IC50", "MCF-7")
-    assert bound("The IC50 was 13 μM in MCF-7 cells and 16 μM in MDA‐MB‐231 cells.", "16 μM", "μM")[2] == "MDA-MB-231"
-    assert bound("Cells were treated with 20 uM for 6 h.", "20 uM", "uM")[1] == "treatment concentration"
-    assert bound("Cells were treated with 20 uM for 6 h.", "6 h", "h")[1] == "treatment duration"
-    assert bound("The measured duration was 2 day.", "2 day", "day")[1] == "duration"
-    assert bound("It was 37 C.", "37 C", "C")[1] == "temperature"
-    assert bound("We saw 5 mg.", "5 mg", "mg") == ("What numeric result is reported in paragraph p1?", "numeric result", None)
-
-
-def test_conditions_do_not_echo():
+def bound(spark, *cases):
+    """What :func:`prose.interpret` says of (text, display, unit), each."""
+    rows = [(k, t, "p1", t.index(d), t.index(d) + len(d), u) for k, (t, d, u) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "n int, text string, id string, start int, end int, unit string")
+    df = df.select("n", "text", "id", F.struct("start", "end", "unit").alias("span"))
+    return sorted(prose.interpret(df).collect(), key=lambda r: r.n)
+
+
+def test_prose_binding(spark):
+    ic50 = "The IC50 was 13 μM in MCF-7 cells and 16 μM in MDA‐MB‐231 cells."
+    cases = [
+        ("Batch A achieved a yield of 85 % at last.", "85 %", "%", "yield", "Batch A"),
+        (ic50, "13 μM", "μM", "IC50", "MCF-7"),
+        (ic50, "16 μM", "μM", "IC50", "MDA-MB-231"),
+        ("Cells were treated with 20 uM for 6 h.", "20 uM", "uM", "treatment concentration", "6 h"),
+        ("Cells were treated with 20 uM for 6 h.", "6 h", "h", "treatment duration", None),
+        ("The measured duration was 2 day.", "2 day", "day", "duration", "The measured"),
+        ("It was 37 C.", "37 C", "C", "temperature", None),
+        ("We saw 5 mg.", "5 mg", "mg", "numeric result", None),
+        ("The highest concentration of 5 uM was used.", "5 uM", "uM", "treatment concentration", "The highest"),
+        ("The cell viability reduction of the sample reached 40 %.", "40 %", "%", "cell viability reduction", "sample"),
+        ("The proportion of early apoptosis of SW480 cells was 12 %.", "12 %", "%", "apoptosis proportion", "SW480"),
+        ("The percentage of S phase of HT29 cells was 30 %.", "30 %", "%", "cell-cycle proportion", "HT29"),
+        ("Its wavelength was 500 nm for the red dye, as said.", "500 nm", "nm", "length", "the red dye"),
+        ("The drug mix (IC50 13 uM) and the new mix (viability 80 %).", "80 %", "%", "cell viability", "drug mix (IC50 13 uM) and the new mix"),
+    ]
+    for r, (_, _, _, metric, entity) in zip(bound(spark, *[c[:3] for c in cases]), cases, strict=True):
+        assert (r.metric, r.entity) == (metric, entity), r
+        assert r.question == (f"What {metric} was reported for {r.entity}?" if r.entity else f"What {metric} is reported in paragraph p1?")
+
+
+def test_conditions_do_not_echo(spark):
     t = "Sample 2 had a yield of 85 %; temperature was 37 C and pressure was 2 kPa, measured using HPLC."
-    at = t.index("85 %")
-    got = prose.conditions(t, at, at + 4, "Sample 2")
-    assert got == {"sample_or_entity": "Sample 2", "temperature": "37 C", "pressure": "2 kPa", "method": "HPLC", "assay_or_method": "HPLC"}
-    at = t.index("37 C")
-    assert "temperature" not in prose.conditions(t, at, at + 4, "Sample 2")
+    first, second = bound(spark, (t, "85 %", "%"), (t, "37 C", "C"))
+    assert {f.k: f.v for f in first.fields} == {"sample_or_entity": "Sample 2", "temperature": "37 C", "pressure": "2 kPa", "method": "HPLC", "assay_or_method": "HPLC"}
+    assert first.condition == "sample_or_entity=Sample 2; temperature=37 C; pressure=2 kPa; method=HPLC; assay_or_method=HPLC"
+    assert "temperature" not in {f.k for f in second.fields}
 
 
-def test_settings_are_no_results():
-    assert not prose.is_result("incubated at 37 C", "37 C", "temperature", "C")
-    assert prose.is_result("the temperature was 37 C", "37 C", "temperature", "C")
-    assert not prose.is_result("viability at 20 uM", "20 uM", "cell viability", "uM")
+def test_settings_are_no_results(spark):
+    cases = [("incubated at 37 C", "37 C", "C"), ("the temperature was 37 C", "37 C", "C"), ("viability at 20 uM", "20 uM", "uM"), ("IC50 at 5 uM", "5 uM", "uM"), ("The IC50 was 5 uM", "5 uM", "uM")]
+    assert [r.core for r in bound(spark, *cases)] == [False, True, False, False, True]
 
 
 def test_arithmetic():

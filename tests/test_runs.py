@@ -114,13 +114,58 @@ def test_review(spark, samples, tmp_path):
     ids = [r.id for r in samples.filter("doc_id = 'clash'").orderBy("ord").collect()]
     for key, decision in ((ids[0], "reject"), (ids[0], "accept"), (ids[1], "reject")):
         last = review.record(spark, log, key, decision, "me")
-    assert last == "decision-000003"
+    assert last.startswith("decision-000003-")
     out = {r.id: r for r in review.apply_decisions(samples, spark.read.parquet(log)).collect()}
     assert (out[ids[0]].bucket, out[ids[1]].bucket, out[ids[1]].failure_mode) == ("gold", "rejected", "human_rejected")
     queue = review.queue(samples).collect()
     assert [r.rank for r in queue] == list(range(1, len(queue) + 1)) and queue[0].failure_mode == "conflicting_values"
 
 
+def test_changed_samples_are_verified_again(spark, samples, docs, tmp_path):
+    log = str(tmp_path / "log")
+    numbers = samples.filter("doc_id = 'demo' AND value_num IS NOT NULL AND bucket = 'gold'").orderBy("ord").collect()
+    wrong, right, away = numbers[:3]
+    review.record(spark, log, wrong.id, "modify", "me", changes={"value_num": 999999.0}, before={"value_num": wrong.value_num, "unit": wrong.unit})
+    review.record(spark, log, right.id, "modify", "me", changes={"condition": "said so"})
+    review.record(spark, log, away.id, "modify", "me", changes={"value_num": away.value_num})
+    decisions = spark.read.parquet(log)
+    logged = json.loads(decisions.filter(F.col("sample_id") == wrong.id).first().after)
+    assert logged == {"value_num": 999999.0, "unit": wrong.unit}
+    plain = {r.id: r for r in review.apply_decisions(samples, decisions).collect()}
+    assert {(plain[x.id].status, plain[x.id].bucket, plain[x.id].failure_mode) for x in (wrong, right, away)} == {("unverified", "silver", review.UNVERIFIED)}
+    good = docs.filter("error IS NULL")
+    done = {r.id: r for r in runs.apply_review(samples, decisions, good).collect()}
+    assert len(done) == len(plain) and (done[wrong.id].status, done[wrong.id].failure_mode, done[wrong.id].bucket) == ("fail", "answer_mismatch", "silver")
+    assert (done[right.id].status, done[right.id].bucket, done[right.id].condition) == ("pass", "gold", "said so") and done[away.id].bucket == "gold"
+    without = {r.id: r for r in runs.apply_review(samples, decisions, good.filter("doc_id <> 'demo'")).collect()}
+    assert without[wrong.id].failure_mode == review.UNVERIFIED
+
+
+def test_replay_keeps_rows_of_one_id_apart(samples, docs):
+    some = samples.filter("doc_id = 'demo'")
+    twice = some.unionByName(some.withColumn("id", F.lit("same")).withColumn("path", F.slice("path", 1, 1)))
+    out = replay(twice, docs.filter("error IS NULL")).collect()
+    assert len(out) == 2 * some.count() and sum(r.id == "same" for r in out) == some.count() and all(r.replay_error is None for r in out)
+    nowhere = replay(some.withColumn("doc_id", F.lit("gone")), docs.filter("error IS NULL")).collect()
+    assert {r.replay_error for r in nowhere} == {"no such document"}
+
+
+def test_documents_without_claims_count(spark, samples):
+    claim = [("demo", "table", "Table 1", "S1", "IC50", "12")]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("task_type", "string"), ("condition", "string"), ("uncertainty", "double"), ("unit", "string"), ("metric", "string"), ("entity", "string"), ("paragraph_id", "string"), ("subject", "string"), ("object", "string"))]
+    expected = spark.createDataFrame([*claim, ("nobody", *claim[0][1:])], "doc_id string, kind string, table_id string, row string, col string, value string").select("*", *none)
+    asked = spark.createDataFrame([("demo",), ("silent",)], "doc_id string")
+    out = {r.doc_id: r for r in score.score_documents(samples, expected, asked).collect()}
+    assert set(out) == {r.doc_id for r in samples.select("doc_id").distinct().collect()} | {"demo", "nobody", "silent"}
+    assert (out["nobody"].expected_claims, out["nobody"].predicted_claims, out["nobody"].claim_recall) == (1, 0, 0.0) and out["silent"].predicted_claims == 0
+    total = sum(r.predicted_claims for r in out.values())
+    assert score.score_strategies(spark.createDataFrame(list(out.values()))).first().claim_precision == round(1 / total, 4)
+    entries = spark.createDataFrame([("demo", (samples.filter("doc_id = 'demo'").count(), None, 0)), ("silent", (1, 0, None))], "doc_id string, expected struct<candidates:int,gold:int,silver:int>")
+    matches = score.count_matches(samples, entries)
+    assert {r.doc_id: r.candidates_match for r in matches.collect()} == {"demo": True, "silent": False}
+    assert score.count_accuracy(matches).first().candidates_accuracy == 0.5
+
+
 def test_scoring_and_ablation(spark, samples):
     claim = lambda kind="table", **k: [k.get(c) for c in ("doc_id",)] + [kind] + [k.get(c) for c in ("table_id", "row", "col", "task_type", "condition", "value", "uncertainty", "unit", "metric", "entity", "paragraph_id", "subject", "object")]
     names = "doc_id string, kind string, table_id string, row string, col string, task_type string, condition string, value string, uncertainty double, unit string, metric string, entity string, paragraph_id string, subject string, object string"
