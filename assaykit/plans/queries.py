@@ -469,14 +469,20 @@ def _decisions(spark, sf):
 
 
 @query(f"""WITH {PARTS}, l AS (SELECT user_id % 50 AS row_index, arg_max(event_id % 3, event_id) AS d FROM events GROUP BY 1)
-SELECT CASE WHEN d = 1 THEN 'rejected' WHEN license IN {KNOWN} THEN 'gold' ELSE 'silver' END AS bucket, CASE d WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' WHEN 2 THEN 'modify' END AS review_decision,
-  CASE WHEN d = 1 THEN 'human_rejected' WHEN license NOT IN {KNOWN} THEN 'license_unknown' END AS failure_mode, count(*)::BIGINT AS n
+SELECT CASE WHEN d = 1 THEN 'rejected' WHEN d = 2 AND col_index = 1 THEN 'silver' WHEN license IN {KNOWN} THEN 'gold' ELSE 'silver' END AS bucket,
+  CASE d WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' WHEN 2 THEN 'modify' END AS review_decision, CASE WHEN d = 2 AND col_index = 1 THEN 'fail' ELSE 'pass' END AS status,
+  CASE WHEN d = 1 THEN 'human_rejected' WHEN d = 2 AND col_index = 1 THEN 'answer_mismatch' WHEN license NOT IN {KNOWN} THEN 'license_unknown' END AS failure_mode, count(*)::BIGINT AS n
 FROM s LEFT JOIN l USING (row_index) GROUP BY ALL""")
 def review_apply(spark, sf):
-    s = runs.run_documents(_parts(spark, sf)).withColumn("row_index", F.get("evidence", 0)["locator"]["row_index"])
+    """Decisions on samples, where masses are changed to another value and pressures to their own; both are verified again."""
+    docs = _parts(spark, sf)
+    s = runs.run_documents(docs).withColumn("row_index", F.get("evidence", 0)["locator"]["row_index"])
     last = _decisions(spark, sf).groupBy("row_index").agg(F.max("seq").alias("seq"), F.max_by("decision", "seq").alias("decision"))
-    log = s.join(last, "row_index").select("seq", F.col("id").alias("sample_id"), "decision", F.lit("r").alias("reviewer"), F.lit("").alias("comment"), F.lit("{}").alias("changes"))
-    return review.apply_decisions(s, log).groupBy("bucket", "review_decision", "failure_mode").agg(F.count("*").alias("n"))
+    value = F.when(F.col("unit") == "mg", F.col("value_num") * 2 + 1).otherwise(F.col("value_num"))
+    changes = F.when(F.col("decision") == "modify", F.to_json(F.struct(value.alias("value_num")))).otherwise("{}")
+    log = s.join(last, "row_index").select("seq", F.col("id").alias("sample_id"), "decision", F.lit("r").alias("reviewer"), F.lit("").alias("comment"), changes.alias("changes"))
+    out = runs.apply_review(s.drop("row_index"), log, docs)
+    return out.groupBy("bucket", "review_decision", "status", "failure_mode").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {PARTS} SELECT metric, count(*)::BIGINT AS n FROM s WHERE row_index % 7 <> 0 GROUP BY 1")

@@ -78,6 +78,26 @@ def relation_sentence() -> Column:
     return F.concat(F.lit("Customer "), F.col("c_custkey").cast("string"), F.lit(" showed "), verb, F.lit(" demand in nation "), F.col("c_nationkey").cast("string"), F.lit(" than before."))
 
 
+def customer_documents(customer: DataFrame) -> DataFrame:
+    """Articles of ROWS customers, a paragraph with a relation for each."""
+    rows = customer.select(F.floor(F.col("c_custkey") / ROWS).alias("n"), F.col("c_custkey").alias("k"), relation_sentence().alias("text"))
+    g = _dealt(rows, "n").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("lines"))  # ROWS rows a group
+    g = g.withColumn("doc_id", F.concat(F.lit("customers-"), F.col("n").cast("string")))
+    one = lambda x: F.struct(F.concat(F.lit("p"), x["k"].cast("string")).alias("id"), F.lit(0).alias("page"), x["text"].alias("text"), F.lit("").alias("section"), F.array(F.lit("Results")).alias("section_path"), _null("array<double>").alias("bbox"))
+    return _package(g, paragraphs=F.transform("lines", one))
+
+
+def supplier_documents(supplier: DataFrame) -> DataFrame:
+    """One article for each supplier, whose only content is a supplement."""
+    text = F.concat(F.lit("Run "), F.col("s_suppkey").cast("string"), F.lit(" had a yield of "), (F.col("s_suppkey") % 90 + 1).cast("string"), F.lit(" %."))
+    g = supplier.select(F.col("s_suppkey").alias("n"), F.concat(F.lit("supplier-"), F.col("s_suppkey").cast("string")).alias("doc_id"), text.alias("text"))
+    one = F.struct(
+        F.lit("s1").alias("id"), F.lit("Supplement 1").alias("label"), F.lit("").alias("caption"), F.lit("s1.txt").alias("href"), F.col("text"), F.array().cast("array<string>").alias("section_path"),
+        _null("string").alias("source_hash"), _null("string").alias("parser"),
+    )
+    return _package(g, supplements=F.array(one))
+
+
 def event_documents(events: DataFrame) -> DataFrame:
     """A figure for each user: a series for each event type, points (number of the event, its value)."""
     e = events.select("user_id", "event_type", "event_id", F.round("value", 2).alias("y"))
