@@ -162,7 +162,8 @@ def _sample(docs: DataFrame, train_docs: int) -> DataFrame:
     labelled = labelled.select(F.col("lang").cast("string").alias("lang"), "text", rank.alias("h"), "doc_id")
     below = F.when(F.col("n") <= 2 * train_docs, F.lit(LARGEST)).otherwise((2.0 * train_docs / F.col("n") * float(LARGEST)).cast("bigint"))
     share = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("n")).select("_lang", below.alias("below"))
-    near = labelled.join(share, (F.col("lang") == F.col("_lang")) & (F.col("h") <= F.col("below")))
+    # A row for each language, as the model that is broadcast later has a column for each: no text is shuffled to meet it.
+    near = labelled.join(F.broadcast(share), (F.col("lang") == F.col("_lang")) & (F.col("h") <= F.col("below")))
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
     return near.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= train_docs).select("lang", "text")
 
