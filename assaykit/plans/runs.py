@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,6 +114,18 @@ def write_run(samples: DataFrame, docs: DataFrame, folder: str) -> None:
     publish.document_counts(docs, stored).write.mode("overwrite").json(f"{folder}/documents")
 
 
+def resolve(paths: list[str], roots: list[str]) -> list[str]:
+    """Local inputs of an earlier run where they are now: as written, else under the first of ``roots`` that has them. Paths
+    with a scheme stay as they are. One that is nowhere is an error."""
+    out = []
+    for path in paths:
+        places = [path] if "://" in path else [p for p in (path, *(os.path.join(r, path.lstrip("/")) for r in roots), *(os.path.join(r, os.path.basename(path)) for r in roots)) if os.path.exists(p)]
+        if not places:
+            raise FileNotFoundError(f"{path} is neither here nor under {roots}")
+        out.append(places[0])
+    return out
+
+
 def retry(spark: SparkSession, paths: list[str] | str, strategy: str, previous_summary: dict, metadata: DataFrame | None = None) -> tuple[DataFrame, DataFrame, dict]:
     """Run again with the fallback strategy; metadata carries over, and the lineage names the summary that was retried."""
     docs, samples = run(spark, paths, FALLBACKS[strategy], metadata)
@@ -120,4 +133,4 @@ def retry(spark: SparkSession, paths: list[str] | str, strategy: str, previous_s
     return docs, samples, {"retried_strategy": strategy, "strategy": FALLBACKS[strategy], "previous_summary_sha256": digest}
 
 
-__all__ = ["FALLBACKS", "apply_review", "contamination", "evaluate", "finish", "replay", "read_entries", "retry", "reverify", "run", "run_documents", "run_manifest", "write_run"]
+__all__ = ["FALLBACKS", "apply_review", "contamination", "evaluate", "finish", "read_entries", "replay", "resolve", "retry", "reverify", "run", "run_documents", "run_manifest", "write_run"]
