@@ -49,7 +49,7 @@ def queue(samples: DataFrame) -> DataFrame:
         q = q.join(ranks, (F.col("id") == F.col("_id")) & (F.col("ord") == F.col("_ord")))
     else:
         q = q.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("priority"), "doc_id", "id")))
-    return q.select("rank", F.col("id").alias("sample_id"), "doc_id", "failure_mode", "priority", action(F.col("failure_mode")).alias("recommended_action"), *kept)
+    return q.select("rank", F.col("id").alias("sample_id"), "doc_id", "failure_mode", "priority", action(F.col("failure_mode")).alias("recommended_action"), *kept).orderBy("rank")
 
 
 def action(mode: Column) -> Column:

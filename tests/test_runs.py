@@ -155,11 +155,12 @@ def test_documents_without_claims_count(spark, samples):
     none = [F.lit(None).cast(t).alias(c) for c, t in (("task_type", "string"), ("condition", "string"), ("uncertainty", "double"), ("unit", "string"), ("metric", "string"), ("entity", "string"), ("paragraph_id", "string"), ("subject", "string"), ("object", "string"))]
     expected = spark.createDataFrame([*claim, ("nobody", *claim[0][1:])], "doc_id string, kind string, table_id string, row string, col string, value string").select("*", *none)
     asked = spark.createDataFrame([("demo",), ("silent",)], "doc_id string")
-    out = {r.doc_id: r for r in score.score_documents(samples, expected, asked).collect()}
+    scored = score.score_documents(samples, expected, asked)
+    out = {r.doc_id: r for r in scored.collect()}
     assert set(out) == {r.doc_id for r in samples.select("doc_id").distinct().collect()} | {"demo", "nobody", "silent"}
     assert (out["nobody"].expected_claims, out["nobody"].predicted_claims, out["nobody"].claim_recall) == (1, 0, 0.0) and out["silent"].predicted_claims == 0
     total = sum(r.predicted_claims for r in out.values())
-    assert score.score_strategies(spark.createDataFrame(list(out.values()))).first().claim_precision == round(1 / total, 4)
+    assert score.score_strategies(scored).first().claim_precision == round(1 / total, 4)
     entries = spark.createDataFrame([("demo", (samples.filter("doc_id = 'demo'").count(), None, 0)), ("silent", (1, 0, None))], "doc_id string, expected struct<candidates:int,gold:int,silver:int>")
     matches = score.count_matches(samples, entries)
     assert {r.doc_id: r.candidates_match for r in matches.collect()} == {"demo": True, "silent": False}
