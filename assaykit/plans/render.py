@@ -35,7 +35,8 @@ def _package(df: DataFrame, **columns: Column) -> DataFrame:
 
 def _dealt(rows: DataFrame, key: str) -> DataFrame:
     """Rows dealt by ``key`` to as many partitions as the session has for a shuffle: few bytes here are much work for a miner,
-    so partitions must not be merged by their bytes."""
+    so partitions must not be merged by their bytes. Dealt by doc_id, documents and all that is mined from them lie in the
+    partitions that joins on doc_id ask for, and are not shuffled again."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
@@ -66,9 +67,10 @@ def sentence() -> Column:
 def order_documents(lineitem: DataFrame) -> DataFrame:
     """Articles of ROWS orders, a paragraph for each line item."""
     k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    rows = lineitem.select(F.floor(F.col("l_orderkey") / ROWS).alias("n"), k.alias("k"), sentence().alias("text"))
-    g = _dealt(rows, "n").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("lines"))  # the lines of ROWS orders
-    g = g.withColumn("doc_id", F.concat(F.lit("orders-"), F.col("n").cast("string")))
+    n = F.floor(F.col("l_orderkey") / ROWS)
+    rows = lineitem.select(F.concat(F.lit("orders-"), n.cast("string")).alias("doc_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    rows = _dealt(rows, "doc_id").select("doc_id", n.alias("n"), k.alias("k"), sentence().alias("text"))  # numbers are shuffled, not texts
+    g = rows.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("lines"))  # the lines of ROWS orders
     one = lambda x: F.struct(F.concat(F.lit("p"), x["k"].cast("string")).alias("id"), F.lit(0).alias("page"), x["text"].alias("text"), F.lit("").alias("section"), F.array(F.lit("Results")).alias("section_path"), _null("array<double>").alias("bbox"))
     return _package(g, paragraphs=F.transform("lines", one))
 
@@ -100,12 +102,12 @@ def supplier_documents(supplier: DataFrame) -> DataFrame:
 
 def event_documents(events: DataFrame) -> DataFrame:
     """A figure for each user: a series for each event type, points (number of the event, its value)."""
-    e = events.select("user_id", "event_type", "event_id", F.round("value", 2).alias("y"))
-    s = e.groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list(F.struct("event_id", "y"))).alias("p"))
+    e = events.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("doc_id"), "user_id", "event_type", "event_id", F.round("value", 2).alias("y"))
+    s = _dealt(e, "doc_id").groupBy("doc_id", "user_id", "event_type").agg(F.array_sort(F.collect_list(F.struct("event_id", "y"))).alias("p"))
     y = lambda x: F.concat(x["y"].cast("decimal(12,2)").cast("string"), F.lit(" %"))
     point = lambda x, i: F.struct(x["event_id"].cast("string").alias("x"), x["y"].cast("string").alias("y"), F.lit("number").alias("x_kind"), F.lit("number").alias("y_kind"), y(x).alias("y_shown"), F.concat(x["event_id"].cast("string"), F.lit(" h")).alias("x_shown"), i.alias("index"))
-    s = s.select("user_id", "event_type", F.transform("p", point).alias("points"))
-    g = s.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_type", "points"))).alias("all")).withColumn("n", F.col("user_id")).withColumn("doc_id", F.concat(F.lit("user-"), F.col("user_id").cast("string")))
+    s = s.select("doc_id", "user_id", "event_type", F.transform("p", point).alias("points"))
+    g = s.groupBy("doc_id", "user_id").agg(F.array_sort(F.collect_list(F.struct("event_type", "points"))).alias("all")).withColumn("n", F.col("user_id"))
     axis = lambda label, unit: F.struct(F.lit(label).alias("label"), F.lit(unit).alias("unit"))
     series = F.transform("all", lambda x, i: F.struct(x["event_type"].alias("name"), i.alias("index"), x["points"].alias("points")))
     one = F.struct(
