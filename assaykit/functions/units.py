@@ -39,7 +39,8 @@ NUMBER = r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?"
 UNIT = r"%|°?[A-Za-zμµ]+(?:/[A-Za-zμµ]+)?"
 _BODY = rf"({NUMBER})(?:\s*[±+]\s*({NUMBER}))?(\s*)({UNIT})"
 SPAN_JAVA = rf"(?U)(?<![\p{{L}}\p{{N}}_.]){_BODY}(?![\p{{L}}\p{{N}}_])"
-PLAIN_SPAN_JAVA = rf"(?U)(?<![\p{{L}}\p{{N}}_.])({NUMBER})\s*(%|°?[A-Za-zμµ]+)(?![\p{{L}}\p{{N}}_])"
+_PLAIN_BODY = rf"({NUMBER})\s*(%|°?[A-Za-zμµ]+)"
+PLAIN_SPAN_JAVA = rf"(?U)(?<![\p{{L}}\p{{N}}_.]){_PLAIN_BODY}(?![\p{{L}}\p{{N}}_])"
 WHOLE_JAVA = rf"(?U)^\s*({NUMBER})\s*([^\d\s].*?)?\s*$"
 BARE_JAVA = rf"(?U)^\s*({NUMBER})(?:\s*[±+]\s*({NUMBER}))?\s*$"
 SPAN = re.compile(rf"(?<![\w.]){_BODY}(?!\w)")
@@ -84,10 +85,12 @@ def spans(text: Column, pattern: str = SPAN_JAVA) -> Column:
     Positions are running sums over the pieces that splitting at the pattern leaves."""
     folded = fold_micro(text)
     full = pattern == SPAN_JAVA
-    pick = lambda k: F.regexp_extract_all(folded, F.lit(pattern), F.lit(k))
+    whole = rf"(?U)^{_BODY if full else _PLAIN_BODY}\z"  # on a match alone, its groups are those it has in the text
     none = F.lit(None).cast("string")
-    pieces = F.arrays_zip(pick(0).alias("m"), pick(1).alias("n"), pick(2 if full else 1).alias("e"), pick(3 if full else 0).alias("s"), pick(4 if full else 2).alias("u"), F.split(folded, pattern, -1).alias("gap"))
-    pieces = F.filter(pieces, lambda x: x["m"].isNotNull())
+    pieces = F.filter(F.arrays_zip(F.regexp_extract_all(folded, F.lit(pattern), F.lit(0)).alias("m"), F.split(folded, pattern, -1).alias("gap")), lambda x: x["m"].isNotNull())
+    group = lambda x, k: F.regexp_extract(x["m"], whole, k)
+    parts = lambda x: F.struct(x["m"], x["gap"], group(x, 1).alias("n"), (group(x, 2) if full else none).alias("e"), (group(x, 3) if full else none).alias("s"), group(x, 4 if full else 2).alias("u"))
+    pieces = F.transform(pieces, parts)
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + F.length(x["gap"])

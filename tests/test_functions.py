@@ -171,3 +171,19 @@ def test_row_labels(spark):
     rows = [[("x", "1"), ("Sample", "")], [("name", "n"), ("Sample", "s")]]
     got = column(spark, rows, lambda v: mine.row_label(v, F.lit(4)), "array<struct<name:string,value:string>>")
     assert got == ["row 5", "s"]
+
+
+def test_groups_of_a_match_alone(spark):
+    """Numbers, errors and units are read from each match alone, and are those that it has in its text."""
+    texts = ["x5 mg 5 mg, 1.5 ± 0.2 mM and 3 + 4 uM; 5mg 5M 5 M -3e5 K", "µ 2 µM/h 7 μg/mL. .5 mm 5. mm 1.2.3 mg", "", "5 mg\n6 kg"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", units.spans(F.col("t")).alias("s"))
+    for r in df.collect():
+        assert [tuple(x) for x in r.s] == units.find_spans(r.t)
+
+
+def test_noun_after_the_last_stop(spark):
+    """The search for the noun of a metric reads the text after the last stop alone, whatever stands before it."""
+    text = "a; b. " * 60 + "one, the big one had a yield of 4 %"
+    df = spark.createDataFrame([("p1", text)], "id string, text string").select("*", F.explode(units.spans(F.col("text"))).alias("span"))
+    plan = prose.interpret(df).select("entity")
+    assert [r.entity for r in plan.collect()] == ["the big one"] and "_last" in plan._jdf.queryExecution().optimizedPlan().toString()
