@@ -187,3 +187,12 @@ def test_noun_after_the_last_stop(spark):
     df = spark.createDataFrame([("p1", text)], "id string, text string").select("*", F.explode(units.spans(F.col("text"))).alias("span"))
     plan = prose.interpret(df).select("entity")
     assert [r.entity for r in plan.collect()] == ["the big one"] and "_last" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["duplicate_groups", "conflict_groups"])
+def test_grouped_samples_are_mined_once(spark, name):
+    """Line items are read for the candidates and for their provenance, and not for the facts of groups once more."""
+    from assaykit.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
