@@ -9,6 +9,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assaykit.functions import text as tx
+
 # By dimension and base unit, the spellings of units and their factors.
 DIMENSIONS = {
     ("concentration", "M"): {"M": 1.0, "mM": 1e-3, "uM": 1e-6, "μM": 1e-6, "nM": 1e-9, "pM": 1e-12, "mol/L": 1.0, "mmol/L": 1e-3, "μmol/L": 1e-6, "umol/L": 1e-6, "nmol/L": 1e-9},
@@ -38,9 +40,10 @@ DOSE_UNITS = MOLAR_UNITS + tuple(u for u, (dimension, _, _) in REGISTRY.items()
 NUMBER = r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?"
 UNIT = r"%|°?[A-Za-zμµ]+(?:/[A-Za-zμµ]+)?"
 _BODY = rf"({NUMBER})(?:\s*[±+]\s*({NUMBER}))?(\s*)({UNIT})"
-SPAN_JAVA = rf"(?U)(?<![\p{{L}}\p{{N}}_.]){_BODY}(?![\p{{L}}\p{{N}}_])"
+# The lookahead spares most places the search behind them: a number begins with a sign, a point or a digit.
+SPAN_JAVA = rf"(?U)(?=[+\-.\d])(?<![\p{{L}}\p{{N}}_.]){_BODY}(?![\p{{L}}\p{{N}}_])"
 _PLAIN_BODY = rf"({NUMBER})\s*(%|°?[A-Za-zμµ]+)"
-PLAIN_SPAN_JAVA = rf"(?U)(?<![\p{{L}}\p{{N}}_.]){_PLAIN_BODY}(?![\p{{L}}\p{{N}}_])"
+PLAIN_SPAN_JAVA = rf"(?U)(?=[+\-.\d])(?<![\p{{L}}\p{{N}}_.]){_PLAIN_BODY}(?![\p{{L}}\p{{N}}_])"
 WHOLE_JAVA = rf"(?U)^\s*({NUMBER})\s*([^\d\s].*?)?\s*$"
 BARE_JAVA = rf"(?U)^\s*({NUMBER})(?:\s*[±+]\s*({NUMBER}))?\s*$"
 SPAN = re.compile(rf"(?<![\w.]){_BODY}(?!\w)")
@@ -52,8 +55,7 @@ class UnitError(ValueError):
     """A text is no number with a registered unit, or units do not convert."""
 
 
-def fold_micro(text: Column) -> Column:
-    return F.translate(text, "µ", "μ")
+fold_micro = tx.fold_micro
 
 
 def registry() -> Column:
@@ -83,14 +85,14 @@ def spans(text: Column, pattern: str = SPAN_JAVA) -> Column:
     """array<struct<start, end, value, unit, uncertainty>> of the measurements in a text, in order; offsets in code points.
 
     Positions are running sums over the pieces that splitting at the pattern leaves."""
-    folded = fold_micro(text)
     full = pattern == SPAN_JAVA
     whole = rf"(?U)^{_BODY if full else _PLAIN_BODY}\z"  # on a match alone, its groups are those it has in the text
     none = F.lit(None).cast("string")
-    pieces = F.filter(F.arrays_zip(F.regexp_extract_all(folded, F.lit(pattern), F.lit(0)).alias("m"), F.split(folded, pattern, -1).alias("gap")), lambda x: x["m"].isNotNull())
     group = lambda x, k: F.regexp_extract(x["m"], whole, k)
     parts = lambda x: F.struct(x["m"], x["gap"], group(x, 1).alias("n"), (group(x, 2) if full else none).alias("e"), (group(x, 3) if full else none).alias("s"), group(x, 4 if full else 2).alias("u"))
-    pieces = F.transform(pieces, parts)
+    # The folded text and its matches are bound once each, as the only elements of arrays.
+    matches = lambda t: F.struct(t.alias("t"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("m"))
+    pieces = lambda b: F.transform(F.filter(F.arrays_zip(b["m"].alias("m"), F.split(b["t"], pattern, -1).alias("gap")), lambda x: x["m"].isNotNull()), parts)
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + F.length(x["gap"])
@@ -101,7 +103,8 @@ def spans(text: Column, pattern: str = SPAN_JAVA) -> Column:
         return F.struct(end.alias("at"), F.when(keep, F.concat(a["out"], F.array(found))).otherwise(a["out"]).alias("out"))
 
     empty = F.array().cast("array<struct<start:int,end:int,value:double,unit:string,uncertainty:double>>")
-    return F.when(folded.rlike(pattern), F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])).otherwise(empty)
+    found = lambda b: F.when(F.size(b["m"]) > 0, F.aggregate(pieces(b), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])).otherwise(empty)
+    return F.get(F.transform(F.transform(F.array(fold_micro(text)), matches), found), 0)
 
 
 def measurement(text: Column, default_unit: Column) -> Column:

@@ -134,8 +134,8 @@ def cell_candidates(cells: DataFrame) -> DataFrame:
 
 def _prose(rows: DataFrame, stage: int, modality: str, container: str, key: str, read: str, reader: str) -> DataFrame:
     """Candidates of all measurements of a text: rows have id, page and text."""
-    r = rows.withColumn("spans", units.spans(F.col("text"))).filter(F.size("spans") > 0)
-    r = prose.interpret(r.select("*", F.posexplode("spans").alias("n", "span")).drop("spans"))
+    # Exploded at once: a filter on a column of spans would have Spark find them twice.
+    r = prose.interpret(rows.select("*", F.posexplode(units.spans(F.col("text"))).alias("n", "span")))
     r = r.withColumn("shown", F.trim(F.expr("substring(text, span.start + 1, span.end - span.start)")))
     here = {key: F.col("id")} | ({"page": F.col("page")} if modality == "text" else {})
     return _shape(
@@ -249,3 +249,27 @@ def candidates(docs: DataFrame, strategy: str = "result_focused") -> DataFrame:
     if strategy == "multimodal":
         found = found.unionByName(figure_text_candidates(docs)).unionByName(point_candidates(docs))
     return found.filter("core") if focused else found
+
+
+def candidates_by_strategy(docs: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
+    """The candidates of several strategies, each mined once, with ``strategies``: the names of those that have it,
+    if any. No filter stands here: below the stages of the prose rules it would have Spark evaluate them many times over."""
+    if not strategies or set(strategies) - set(STRATEGIES):
+        raise ValueError(f"strategies must be some of {STRATEGIES}")
+
+    def named(found: DataFrame, has: dict[str, Column | bool]) -> DataFrame:
+        names = [F.when(F.col("core") & has[s] if s == "result_focused" else F.lit(has[s]), F.lit(s)) for s in strategies if s in has]
+        return found.withColumn("strategies", F.array_compact(F.array(*names)) if names else F.array().cast("array<string>"))
+
+    every = {"full": True, "multimodal": True}
+    routed = F.get("evidence", 0)["locator"]["paragraph_id"].isNotNull() & result_paragraph(F.col("section_path"), F.col("context"))
+    out = named(table_candidates(docs), every | {"table_only": True, "result_focused": result_table(F.col("section_path"))})
+    if set(strategies) == {"table_only"}:
+        return out
+    for miner in (text_candidates, relation_candidates):
+        out = out.unionByName(named(miner(docs), every | {"result_focused": routed}))
+    out = out.unionByName(named(supplement_candidates(docs), every | {"result_focused": F.lit(True)}))
+    if "multimodal" in strategies:
+        for miner in (figure_text_candidates, point_candidates):
+            out = out.unionByName(named(miner(docs), {"multimodal": True}))
+    return out

@@ -248,11 +248,10 @@ def figure_points(spark, sf):
 SELECT k, ((SELECT count(*) FROM s) + 2 * (SELECT count(*) FROM lines))::BIGINT FROM (VALUES ('full'), ('result_focused')) v(k)""")
 def strategy_counts(spark, sf):
     docs = _parts(spark, sf).unionByName(_orders(spark, sf))
-    out = None
-    for strategy in ("table_only", "full", "result_focused"):
-        n = mine.candidates(docs, strategy).agg(F.count("*").alias("candidates")).select(F.lit(strategy).alias("strategy"), "candidates")
-        out = n if out is None else out.unionAll(n)
-    return out
+    names = ("table_only", "full", "result_focused")
+    found = mine.candidates_by_strategy(docs, names)
+    counts = found.agg(*[F.count_if(F.array_contains("strategies", s)).alias(s) for s in names])
+    return counts.unpivot([], list(names), "strategy", "candidates")
 
 
 # Verification
