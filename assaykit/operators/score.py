@@ -92,15 +92,26 @@ def unmatched(samples: DataFrame, expected: DataFrame) -> DataFrame:
     return signed(samples).select("doc_id", "sig").distinct().join(expected.select("doc_id", expected_signature().alias("sig")), ["doc_id", "sig"], "left_anti")
 
 
-COUNTS = ("expected_claims", "predicted_claims", "matched_claims", "expected_locators", "predicted_locators", "right_locators", "found_locators", "condition_claims", "condition_matches", "table_value_claims", "table_value_matches")
+#: Measures of a document, and the counts that each takes.
+MEASURES = {
+    "claims": ("expected_claims", "predicted_claims", "matched_claims"),
+    "locators": ("expected_locators", "predicted_locators", "right_locators", "found_locators"),
+    "conditions": ("condition_claims", "condition_matches"),
+    "table_values": ("table_value_claims", "table_value_matches"),
+}
 
 
-def score_documents(samples: DataFrame, expected: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+def score_documents(samples: DataFrame, expected: DataFrame, documents: DataFrame | None = None, measures: tuple[str, ...] = tuple(MEASURES)) -> DataFrame:
     """Per document (and whatever other keys ``samples`` carries in ``strategy``): recall, precision, locators, conditions,
     table values. Claims count once, predicted locators as often as predicted.
 
     A document that has claims only, samples only, or (with ``documents``, column doc_id) neither, has its row too. Samples
-    are reduced to narrow rows first; each count is a row of one union, which is summed once."""
+    are reduced to narrow rows first; each count is a row of one union, which is summed once. Each of the ``measures`` reads
+    the samples once more, so that a caller who needs claims alone mines once; claims are always among them, as they tell
+    all documents."""
+    if "claims" not in measures or set(measures) - set(MEASURES):
+        raise ValueError(f"measures must be claims and others of {tuple(MEASURES)}")
+    counts = [c for m in MEASURES if m in measures for c in MEASURES[m]]
     keys = ["strategy", "doc_id"] if "strategy" in samples.columns else ["doc_id"]
     s = signed(samples).select(*keys, "sig", "loc", "condition", "value_num", "value_text", "unit", "metric", "entity", "uncertainty")
     e = expected.withColumns({"sig": expected_signature(), "loc": expected_locator()})
@@ -119,12 +130,13 @@ def score_documents(samples: DataFrame, expected: DataFrame, documents: DataFram
     count = lambda c: F.count_if(c)
     parts.append(both("sig").groupBy(*keys).agg(count(wanted).alias("expected_claims"), count(had).alias("predicted_claims"), count(wanted & had).alias("matched_claims")))
     located = both("loc").groupBy(*keys).agg(count(wanted).alias("expected_locators"), F.sum("had").alias("predicted_locators"), F.sum(F.when(wanted, F.col("had")).otherwise(0)).alias("right_locators"), count(wanted & had).alias("found_locators"))
-    parts.append(located)
+    parts += [located] if "locators" in measures else []
     # Claims that agree in all that is compared are one row with their number.
     stated = e.filter("condition IS NOT NULL").groupBy(*keys, "sig", F.col("condition").alias("want")).agg(F.count("*").alias("n"))
     met = stated.join(s.select(*keys, "sig", F.col("condition").alias("have")), [*keys, "sig"], "left")
     met = met.groupBy(*keys, "sig", "want", "n").agg(F.max(F.coalesce(condition_matches(F.col("have"), F.col("want")), F.lit(False))).alias("ok"))
-    parts.append(met.groupBy(*keys).agg(F.sum("n").alias("condition_claims"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("condition_matches")))
+    met = met.groupBy(*keys).agg(F.sum("n").alias("condition_claims"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("condition_matches"))
+    parts += [met] if "conditions" in measures else []
     said = [F.col("value").alias("want"), *[F.col(c).alias(f"want_{c}") for c in ("unit", "metric", "entity", "uncertainty")]]
     cells = e.filter("kind = 'table' AND value IS NOT NULL").groupBy(*keys, "loc", *said).agg(F.count("*").alias("n"))
     agree = table_value_matches(F.col("value_num"), F.col("value_text"), F.col("want"))
@@ -132,23 +144,24 @@ def score_documents(samples: DataFrame, expected: DataFrame, documents: DataFram
         agree = agree & (F.col(f"want_{c}").isNull() | (tx.casefold(F.trim(F.coalesce(c, F.lit("")))) == tx.casefold(F.trim(F.col(f"want_{c}")))))
     agree = agree & (F.col("want_uncertainty").isNull() | (F.abs(F.col("uncertainty") - F.col("want_uncertainty")) <= 1e-6))
     hit = cells.join(s.drop("sig", "condition"), [*keys, "loc"], "left").groupBy(*keys, *[c for c in cells.columns if c not in keys]).agg(F.max(F.coalesce(agree, F.lit(False))).alias("ok"))
-    parts.append(hit.groupBy(*keys).agg(F.sum("n").alias("table_value_claims"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("table_value_matches")))
+    hit = hit.groupBy(*keys).agg(F.sum("n").alias("table_value_claims"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("table_value_matches"))
+    parts += [hit] if "table_values" in measures else []
     every = None
     for p in parts:
-        row = p.select(*keys, *[(F.col(c) if c in p.columns else F.lit(0)).cast("bigint").alias(c) for c in COUNTS])
+        row = p.select(*keys, *[(F.col(c) if c in p.columns else F.lit(0)).cast("bigint").alias(c) for c in counts])
         every = row if every is None else every.unionAll(row)
-    out = every.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTS])
+    out = every.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts])
     c = F.col
-    return out.withColumns(
-        {
-            "claim_recall": rate(c("matched_claims"), c("expected_claims")),
-            "claim_precision": rate(c("matched_claims"), c("predicted_claims")),
-            "locator_precision": rate(c("right_locators"), c("predicted_locators")),
-            "locator_recall": rate(c("found_locators"), c("expected_locators")),
-            "condition_match_rate": F.when(c("condition_claims") > 0, rate(c("condition_matches"), c("condition_claims"))),
-            "table_value_match_rate": F.when(c("table_value_claims") > 0, rate(c("table_value_matches"), c("table_value_claims"))),
-        }
-    )
+    rates = {
+        "claim_recall": rate(c("matched_claims"), c("expected_claims")),
+        "claim_precision": rate(c("matched_claims"), c("predicted_claims")),
+        "locator_precision": rate(c("right_locators"), c("predicted_locators")),
+        "locator_recall": rate(c("found_locators"), c("expected_locators")),
+        "condition_match_rate": F.when(c("condition_claims") > 0, rate(c("condition_matches"), c("condition_claims"))),
+        "table_value_match_rate": F.when(c("table_value_claims") > 0, rate(c("table_value_matches"), c("table_value_claims"))),
+    }
+    of = {"claim": "claims", "locator": "locators", "condition": "conditions", "table": "table_values"}
+    return out.withColumns({k: v for k, v in rates.items() if of[k.split("_")[0]] in measures})
 
 
 LEVELS = ("candidates", "gold", "silver")
@@ -173,20 +186,21 @@ def count_accuracy(matches: DataFrame) -> DataFrame:
 
 
 def score_strategies(per_document: DataFrame) -> DataFrame:
-    """Claims pooled over documents; the other rates are means of the documents' rounded rates, weighted by their counts."""
+    """Claims pooled over documents; the other rates are means of the documents' rounded rates, weighted by their counts.
+    Measures that the documents do not have are left out."""
     keys = ["strategy"] if "strategy" in per_document.columns else []
     c = F.col
     mean = lambda r, n: rate(F.sum(c(r) * c(n)), F.sum(n))
     some = lambda r, n: F.when(F.sum(n) > 0, F.round(F.try_divide(F.sum(F.coalesce(c(r), F.lit(0.0)) * c(n)), F.sum(n)), 4))
-    return per_document.groupBy(*keys).agg(
-        F.count("*").alias("document_count"),
-        rate(F.sum("matched_claims"), F.sum("expected_claims")).alias("claim_recall"),
-        rate(F.sum("matched_claims"), F.sum("predicted_claims")).alias("claim_precision"),
-        mean("locator_precision", "predicted_locators").alias("locator_precision"),
-        mean("locator_recall", "expected_locators").alias("locator_recall"),
-        some("condition_match_rate", "condition_claims").alias("condition_match_rate"),
-        some("table_value_match_rate", "table_value_claims").alias("table_value_match_rate"),
-    )
+    rates = {
+        "claim_recall": rate(F.sum("matched_claims"), F.sum("expected_claims")),
+        "claim_precision": rate(F.sum("matched_claims"), F.sum("predicted_claims")),
+        "locator_precision": mean("locator_precision", "predicted_locators"),
+        "locator_recall": mean("locator_recall", "expected_locators"),
+        "condition_match_rate": some("condition_match_rate", "condition_claims"),
+        "table_value_match_rate": some("table_value_match_rate", "table_value_claims"),
+    }
+    return per_document.groupBy(*keys).agg(F.count("*").alias("document_count"), *[v.alias(k) for k, v in rates.items() if k in per_document.columns])
 
 
 def strategy_deltas(by_strategy: DataFrame, base: str = "table_only", measures: tuple[str, ...] = ("claim_recall", "claim_precision")) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from assaykit.functions import text as tx
 from assaykit.operators import mine
 from assaykit.plans import render
-from assaykit.plans.queries import QUERIES, _orders, _parts
+from assaykit.plans.more_queries import QUERIES, _orders, _parts
 
 SF = "/root/testdata/sf0.001"
 TEXTS = (
@@ -30,9 +30,9 @@ def test_each_strategy_has_its_candidates(spark):
 
 
 def test_strategies_are_counted_in_one_pass(spark):
-    """Line items are read for prose, relations and supplements, once each, and parts for each miner."""
+    """Parts and line items are read no more often for three strategies than for one."""
     plan = QUERIES["strategy_counts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
-    assert plan.count("relation [") <= 8
+    assert plan.count("relation [") == 3
     docs = _orders(spark, SF).limit(0).unionByName(_parts(spark, SF).limit(0))
     assert mine.candidates_by_strategy(docs).count() == 0
 
@@ -40,3 +40,19 @@ def test_strategies_are_counted_in_one_pass(spark):
 def test_relations_are_sought_where_a_word_stands(spark):
     df = spark.createDataFrame([("The dose was INCREASED in cells",), ("Sample 5 achieved a yield of 4 %",), (None,)], "t string").select(tx.relation(F.col("t")).alias("r"))
     assert [r.r and r.r.value for r in df.collect()] == ["increased", None, None] and "contains" in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_claims_alone_are_scored_with_one_mining(spark):
+    """Line items are read for candidates and for their provenance, and each measure has the same figures alone as with others."""
+    from assaykit.operators import curate, score
+    from assaykit.plans.queries import _expected
+
+    plan = QUERIES["claim_totals"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in x and "l_linenumber" in x for x in plan.split("\n")) == 2  # candidates, provenance
+    docs = _parts(spark, SF)
+    s, e = curate.to_samples(mine.table_candidates(docs), docs), _expected(spark, SF)
+    whole, alone = score.score_documents(s, e), score.score_documents(s, e, measures=("claims",))
+    assert sorted(alone.collect()) == sorted(whole.select(*alone.columns).collect()) and "locator_recall" not in alone.columns
+    assert score.score_strategies(alone).first()["claim_recall"] == score.score_strategies(whole).first()["claim_recall"]
+    with pytest.raises(ValueError):
+        score.score_documents(s, e, measures=("locators",))
