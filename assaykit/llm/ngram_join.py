@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from assaykit.llm import _shingles as S
 from assaykit.llm._common import arrow_batches, drop_worker_cache, materialize, release
-from assaykit.llm._graph import connected_components
+from assaykit.llm._graph import connected_components, forest
 
 STEP = 32
 COMPARED = 128
@@ -138,23 +138,6 @@ def likely_groups(sig: np.ndarray, size: np.ndarray, left: np.ndarray, right: np
     return root
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least index that each of ``n`` nodes reaches over the pairs."""
-    root = np.arange(n)
-    while len(i):
-        low = np.minimum(root[i], root[j])
-        before = root.copy()
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        np.minimum.at(root, before[i], low)
-        np.minimum.at(root, before[j], low)
-        while (jumped := root[root]).tobytes() != root.tobytes():
-            root = jumped
-        keep = root[i] != root[j]
-        i, j = i[keep], j[keep]
-    return root
-
-
 def verified_pairs(texts: list[bytes], i: np.ndarray, j: np.ndarray, width: int, threshold: float) -> np.ndarray:
     """Which pairs reach the threshold on the shingles themselves."""
     names: dict[tuple, int] = {}
